@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, packing, runs
+from tessera.llm import bpe, mojibake, packing, runs
 from tessera.operators.hierarchy import stream_alias_roots
 from tessera.session import ship, table, written
 
@@ -47,7 +47,18 @@ def p7_fill(spark, sf_dir):
     return used.withColumn("least_containers", F.ceil(F.col("tokens") / packing.CAPACITY)).withColumn("unused", 1 - F.col("tokens") / (F.col("containers") * packing.CAPACITY))
 
 
-QUERIES = {f.__name__: f for f in (p5_found, p5_runs, p6_ids, p7_pack, p7_fill)}
+def p8_found(spark, sf_dir):
+    ship(spark)
+    return mojibake.Garbled(table(spark, sf_dir, "documents")).found()
+
+
+def p8_restored(spark, sf_dir):
+    """The found documents with the original text, as far as it is known."""
+    ship(spark)
+    return mojibake.Garbled(table(spark, sf_dir, "documents")).restored()
+
+
+QUERIES = {f.__name__: f for f in (p5_found, p5_runs, p6_ids, p7_pack, p7_fill, p8_found, p8_restored)}
 
 _SERIES = """
 told AS (SELECT old_code, max_by(new_code, (pos, new_code)) AS new_code FROM stream_aliases GROUP BY old_code),
