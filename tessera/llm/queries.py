@@ -4,11 +4,26 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, mojibake, packing, runs
+from tessera.llm import bpe, knn, mojibake, packing, runs, vectors
 from tessera.operators.hierarchy import stream_alias_roots
 from tessera.session import ship, table, written
 
 
+def _kind(column="kind"):
+    return F.element_at(F.array(*map(F.lit, vectors.KINDS)), F.col(column) + 1).alias("rec_kind")
+
+
+def p2_found(spark, sf_dir):
+    ship(spark)
+    return knn.close_pairs(vectors.raw_vectors(spark, sf_dir)).select(_kind(), F.col("a").alias("id_a"), F.col("b").alias("id_b"))
+
+
+def p2_neighbours(spark, sf_dir):
+    """The 5 most similar other vectors of every vector, with their cosine."""
+    ship(spark)
+    return knn.neighbours(vectors.raw_vectors(spark, sf_dir)).select(_kind(), "id", F.col("other").alias("neighbour_id"), "rank", F.round(F.col("cos").cast("double"), 4).alias("cosine"))
+
+
 def _stream_events(spark, sf_dir):
     roots = written(stream_alias_roots(spark, sf_dir), "roots")
     codes = table(spark, sf_dir, "stream_codes").join(roots, "code", "left")
@@ -58,7 +73,20 @@ def p8_restored(spark, sf_dir):
     return mojibake.Garbled(table(spark, sf_dir, "documents")).restored()
 
 
-QUERIES = {f.__name__: f for f in (p5_found, p5_runs, p6_ids, p7_pack, p7_fill, p8_found, p8_restored)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_neighbours, p5_found, p5_runs, p6_ids, p7_pack, p7_fill, p8_found, p8_restored)}
+
+_UNITS = """
+rows AS (
+  SELECT 'observation' AS rec_kind, ord AS id, observation_id AS key, embedding AS v FROM observations
+  UNION ALL SELECT 'symbol', symbol_id, CAST(symbol_id AS VARCHAR), proto_embedding FROM symbols),
+usable AS (
+  SELECT rec_kind, id, key, v FROM rows
+  WHERE len(v) = 64 AND len(list_filter(v, lambda x: x IS NOT NULL AND isfinite(x))) = 64 AND len(list_filter(v, lambda x: x <> 0)) > 0),
+first AS (
+  SELECT rec_kind, id, v FROM usable WHERE key IS NULL
+  UNION ALL SELECT rec_kind, min(id), arg_min(v, id) FROM usable WHERE key IS NOT NULL GROUP BY rec_kind, key),
+units AS (SELECT rec_kind, id, CAST(v AS DOUBLE[64]) AS v FROM first)
+"""
 
 _SERIES = """
 told AS (SELECT old_code, max_by(new_code, (pos, new_code)) AS new_code FROM stream_aliases GROUP BY old_code),
@@ -76,6 +104,10 @@ series AS (SELECT *, sum(cut) OVER (PARTITION BY stream_id ORDER BY pos) AS k FR
 """
 
 SQL = {
+    "p2_found": f"""WITH {_UNITS},
+pairs AS (SELECT a.rec_kind, a.id AS id, b.id AS other, array_cosine_similarity(a.v, b.v) AS c FROM units a JOIN units b ON a.rec_kind = b.rec_kind AND a.id <> b.id),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY rec_kind, id ORDER BY c DESC, other) AS k FROM pairs WHERE c >= 0.95)
+SELECT DISTINCT rec_kind, least(id, other) AS id_a, greatest(id, other) AS id_b FROM ranked WHERE k <= 5 AND c >= 0.99""",
     "p5_found": f"""WITH RECURSIVE {_SERIES}
 SELECT stream_id, min(pos) AS first_pos, max(pos) AS last_pos FROM series GROUP BY stream_id, k HAVING count(*) >= 3""",
     "p5_runs": f"""WITH RECURSIVE {_SERIES}
