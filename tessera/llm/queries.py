@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, knn, mojibake, packing, runs, vectors
+from tessera.llm import bpe, clusters, knn, mojibake, packing, runs, vectors
 from tessera.operators.hierarchy import stream_alias_roots
 from tessera.session import ship, table, written
 
@@ -24,6 +24,17 @@ def p2_neighbours(spark, sf_dir):
     return knn.neighbours(vectors.raw_vectors(spark, sf_dir)).select(_kind(), "id", F.col("other").alias("neighbour_id"), "rank", F.round(F.col("cos").cast("double"), 4).alias("cosine"))
 
 
+def p3_found(spark, sf_dir):
+    ship(spark)
+    return clusters.clusters(vectors.raw_vectors(spark, sf_dir)).select(_kind(), F.col("id").alias("member_id"), F.col("lead").alias("lead_id"))
+
+
+def p3_clusters(spark, sf_dir):
+    """Every cluster with its size and its three most typical members."""
+    ship(spark)
+    return clusters.described(vectors.raw_vectors(spark, sf_dir)).select(_kind(), F.col("lead").alias("lead_id"), "size", "typical")
+
+
 def _stream_events(spark, sf_dir):
     roots = written(stream_alias_roots(spark, sf_dir), "roots")
     codes = table(spark, sf_dir, "stream_codes").join(roots, "code", "left")
@@ -73,7 +84,7 @@ def p8_restored(spark, sf_dir):
     return mojibake.Garbled(table(spark, sf_dir, "documents")).restored()
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_neighbours, p5_found, p5_runs, p6_ids, p7_pack, p7_fill, p8_found, p8_restored)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_neighbours, p3_found, p3_clusters, p5_found, p5_runs, p6_ids, p7_pack, p7_fill, p8_found, p8_restored)}
 
 _UNITS = """
 rows AS (
@@ -108,6 +119,11 @@ SQL = {
 pairs AS (SELECT a.rec_kind, a.id AS id, b.id AS other, array_cosine_similarity(a.v, b.v) AS c FROM units a JOIN units b ON a.rec_kind = b.rec_kind AND a.id <> b.id),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY rec_kind, id ORDER BY c DESC, other) AS k FROM pairs WHERE c >= 0.95)
 SELECT DISTINCT rec_kind, least(id, other) AS id_a, greatest(id, other) AS id_b FROM ranked WHERE k <= 5 AND c >= 0.99""",
+    "p3_found": f"""WITH RECURSIVE {_UNITS},
+links AS (SELECT a.rec_kind, a.id AS id, b.id AS other FROM units a JOIN units b ON a.rec_kind = b.rec_kind WHERE array_cosine_similarity(a.v, b.v) >= 0.85 OR a.id = b.id),
+reach AS (SELECT rec_kind, id, other FROM links UNION SELECT r.rec_kind, r.id, l.other FROM reach r JOIN links l ON l.rec_kind = r.rec_kind AND l.id = r.other),
+led AS (SELECT rec_kind, id AS member_id, min(other) AS lead_id, count(*) AS n FROM reach GROUP BY ALL)
+SELECT rec_kind, member_id, lead_id FROM led WHERE n >= 3""",
     "p5_found": f"""WITH RECURSIVE {_SERIES}
 SELECT stream_id, min(pos) AS first_pos, max(pos) AS last_pos FROM series GROUP BY stream_id, k HAVING count(*) >= 3""",
     "p5_runs": f"""WITH RECURSIVE {_SERIES}
