@@ -94,6 +94,15 @@ class Layout:
         return np.concatenate(out, axis=1)
 
 
+def _true(mask: np.ndarray) -> np.ndarray:
+    """Flat positions of the true cells; few are, so eight are looked at at once."""
+    if mask.size % 8:
+        return np.flatnonzero(mask)
+    words = np.flatnonzero(mask.view(np.uint64).ravel() if mask.shape[1] % 8 == 0 else mask.ravel().view(np.uint64))
+    cells = ((words << 3)[:, None] + np.arange(8)).ravel()
+    return cells[mask.ravel()[cells]]
+
+
 def top_pairs(rows: np.ndarray, k: int, side: np.ndarray | None = None, block: int = 1024) -> tuple[np.ndarray, np.ndarray]:
     """Indices and cosines of the k nearest others of each row (-1 and -2 where there are fewer).
 
@@ -118,14 +127,20 @@ def top_pairs(rows: np.ndarray, k: int, side: np.ndarray | None = None, block: i
     def survivors(c: np.ndarray, limit: np.ndarray, rows_at: int, cols_at: int) -> None:
         if (limit == -2).any() and c.shape[1] > 4 * k:  # nothing known yet: the k-th largest here is a first bound
             bound = np.partition(c, c.shape[1] - k, axis=1)[:, c.shape[1] - k]
-            hit = np.flatnonzero(c >= np.maximum(limit, bound)[:, None])
+            hit = _true(c >= np.maximum(limit, bound)[:, None])
         else:
-            hit = np.flatnonzero(c > limit[:, None])
+            hit = _true(c > limit[:, None])
+        take(c, hit, rows_at, cols_at, False)
+
+    def take(c: np.ndarray, hit: np.ndarray, rows_at: int, cols_at: int, across: bool) -> None:
         if len(hit):
-            i, j = np.divmod(hit, c.shape[1])
             value = c.ravel()[hit]
             real = value > -1.5
-            merge(i[real] + rows_at, j[real] + cols_at, value[real])
+            i, j = np.divmod(hit[real], c.shape[1])
+            if across:
+                merge(j + cols_at, i + rows_at, value[real])
+            else:
+                merge(i + rows_at, j + cols_at, value[real])
 
     starts = list(range(0, n, block))
     for gap in range(len(starts)):  # diagonal blocks first, they give every row a bound
@@ -138,7 +153,11 @@ def top_pairs(rows: np.ndarray, k: int, side: np.ndarray | None = None, block: i
                 c[side[lo : lo + block, None] == side[None, hi : hi + block]] = -2.0
             survivors(c, floor[lo : lo + block], lo, hi)
             if gap:
-                survivors(np.ascontiguousarray(c.T), floor[hi : hi + block], hi, lo)
+                limit = floor[hi : hi + block]
+                if (limit == -2).any():
+                    survivors(np.ascontiguousarray(c.T), limit, hi, lo)
+                else:
+                    take(c, _true(c > limit), lo, hi, True)
     return where, best
 
 
