@@ -13,6 +13,7 @@ Defined results
 ---------------
 * a node with a null parent, or whose parent has no row, is a root (depth 0, path of itself alone).
 * a node that is its own ancestor, or hangs on such nodes: ``in_cycle``; root, depth, path and n_descendants are null.
+  ``end_id`` is the node where a walk upwards ends: the root, or the first node of the cycle that it meets.
 * null map_id or node_id: the row is no node and is left out.
 * repeated rows of one node: the largest parent counts (pass rows that are already reduced where another should).
 * empty table: empty result. Extra columns are not carried.
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 
 from tessera.session import forget, table, written
 
-OUT = "map_id string, node_id string, parent_id string, root_id string, depth int, path array<string>, n_descendants bigint, in_cycle boolean"
+OUT = "map_id string, node_id string, parent_id string, root_id string, depth int, path array<string>, n_descendants bigint, in_cycle boolean, end_id string"
 IN_TASK_ROWS = 200_000
 
 
@@ -64,8 +65,9 @@ def _peel_maps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     waves, size = peel(parent)
     n = len(rows)
     names = rows["node_id"].to_numpy(dtype=object)
-    root, depth, path = np.full(n, -1), np.full(n, -1), [None] * n
+    root, depth, path, end = np.full(n, -1), np.full(n, -1), [None] * n, np.arange(n)
     for wave in reversed(waves):
+        end[wave] = np.where(parent[wave] < 0, wave, end[parent[wave]])
         for i in wave.tolist():
             up = parent[i]
             if up < 0:
@@ -84,6 +86,7 @@ def _peel_maps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             "path": pa.array(path, pa.list_(pa.string())),
             "n_descendants": pa.array(size - 1, pa.int64(), mask=cyclic),
             "in_cycle": pa.array(cyclic),
+            "end_id": pa.array(names[end], pa.string()),
         }
     )
     yield from out.to_batches(max_chunksize=5000)
@@ -127,7 +130,7 @@ def _peel_rounds(nodes: DataFrame) -> DataFrame:
     bad = F.col("in_cycle")
     return state.select(
         *key, "parent_id", F.when(~bad, F.element_at("path", 1)).alias("root_id"), F.when(~bad, (F.size("path") - 1).cast("int")).alias("depth"),
-        F.when(~bad, F.col("path")).alias("path"), F.when(~bad, F.col("size") - 1).alias("n_descendants"), "in_cycle",
+        F.when(~bad, F.col("path")).alias("path"), F.when(~bad, F.col("size") - 1).alias("n_descendants"), "in_cycle", F.element_at("path", 1).alias("end_id"),
     )
 
 
