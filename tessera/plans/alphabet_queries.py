@@ -368,8 +368,8 @@ _ENGLISH = f"""CASE WHEN s.symbol_id IS NULL THEN '[undecodable: no symbol for c
 _STREAM = _PACKS.replace("FROM pack_aliases GROUP BY ALL", "FROM (SELECT (SELECT min(pack_id) FROM symbols) AS pack_id, * FROM stream_aliases) GROUP BY ALL")
 _EMB = """
 e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v, label AS class_id FROM embeddings WHERE label IS NOT NULL),
-cells AS (SELECT vec_id, class_id, generate_subscripts(v, 1) - 1 AS at, unnest(v) AS x FROM e),
-proto AS (SELECT class_id, list(x ORDER BY at) AS p FROM (SELECT class_id, at, avg(x) AS x FROM cells GROUP BY ALL) GROUP BY class_id)
+cells AS (SELECT vec_id, class_id, generate_subscripts(v, 1) - 1 AS pl, unnest(v) AS x FROM e),
+proto AS (SELECT class_id, list(x ORDER BY pl) AS p FROM (SELECT class_id, pl, avg(x) AS x FROM cells GROUP BY ALL) GROUP BY class_id)
 """
 _TEXTS = f"""
 t AS (SELECT lang, doc_id AS ord, {_strip('text')} AS text FROM documents WHERE lang IS NOT NULL AND text IS NOT NULL),
@@ -456,7 +456,7 @@ SELECT symbol_id, observation_id, round(cosine, 6) AS cosine, round(1 - cosine,
     "capped_confidence": f"""WITH RECURSIVE {_PACKS}
 SELECT s.symbol_id, round(greatest(0.0, least(s.confidence, 1.0 - least(greatest(coalesce(p.x.r, 0.0), 0.0), 1.0))), 6) AS capped, p.x.r IS NOT NULL AND isfinite(p.x.r) AS finite, nullif({_strip('s.definition')}, '') AS definition
 FROM sym s JOIN pk p ON p.pack_id = s.pack_id""",
-    "prototypes": f"WITH {_EMB} SELECT class_id, CAST(at AS INTEGER) AS at, round(avg(x), 6) AS x FROM cells GROUP BY class_id, at",
+    "prototypes": f'WITH {_EMB} SELECT class_id, CAST(pl AS INTEGER) AS "at", round(avg(x), 6) AS x FROM cells GROUP BY class_id, pl',
     "class_quality": f"""WITH {_EMB}
 SELECT e.class_id, CAST(count(*) AS INTEGER) AS size, round(avg(list_cosine_similarity(v, p)), 6) AS kappa, count(*) < 2 OR avg(list_cosine_similarity(v, p)) < 0.25 AS quarantined, string_agg(CAST(vec_id AS VARCHAR), ',' ORDER BY vec_id) AS ids
 FROM e JOIN proto ON proto.class_id = e.class_id GROUP BY e.class_id""",
