@@ -25,6 +25,7 @@ Defined results
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 
@@ -59,14 +60,20 @@ def _hadamard(rows: np.ndarray) -> np.ndarray:
     return rows / math.sqrt(width)
 
 
-def rotate(rows: np.ndarray, turn: int) -> np.ndarray:
-    """Pseudo-random rotation number ``turn``."""
-    signs = np.random.default_rng(SEED + turn).choice(np.array([-1.0, 1.0]), size=(3, WIDTH))
-    for s in signs:
-        rows = _hadamard(rows * s)
+@functools.cache
+def _rotation(turn: int) -> np.ndarray:
+    """What three rounds of random signs and Hadamard transforms do to the unit axes: the rotation as a matrix."""
+    rows = np.eye(WIDTH)
+    for signs in np.random.default_rng(SEED + turn).choice(np.array([-1.0, 1.0]), size=(3, WIDTH)):
+        rows = _hadamard(rows * signs)
     return rows
 
 
+def rotate(rows: np.ndarray, turn: int) -> np.ndarray:
+    """Pseudo-random rotation number ``turn``, for many rows at once as one product."""
+    return rows @ _rotation(turn)
+
+
 def axes(rows: np.ndarray, turn: int, m: int, probes: int) -> np.ndarray:
     """The nearest signed axes of each row, nearest first: 0..m-1 positive, m..2m-1 negative."""
     turned = rotate(rows, turn)[:, :m]
