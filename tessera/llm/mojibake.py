@@ -129,7 +129,11 @@ def document_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def garbled_words(words: DataFrame) -> DataFrame:
-    """(word, original) of the garbled words of (word, df); original is null where none is known."""
+    """(word, original, sure, single) of the garbled words of (word, df); original is null where none is known.
+
+    Forms with fewer than two ASCII letters of a ``single`` chain are not sure: they may be a sign of their own, and
+    count only beside a sure one.
+    """
     runs = words.select(F.explode(F.array_distinct(F.regexp_extract_all("word", F.lit(r"[^\x00-\x7F]+"), F.lit(0)))).alias("run"), "df", "word")
     by_run = written(runs.groupBy("run").agg(F.sum("df").alias("df")), "runs")
     pair = "form string, original string"
@@ -144,7 +148,7 @@ def garbled_words(words: DataFrame) -> DataFrame:
 
     single = words.select("word").where("word not like '%�%'").mapInArrow(_strings(single_forms), pair)
     single = single.join(words.select(F.col("word").alias("form"), F.col("df").alias("form_df")), "form").join(words.select(F.col("word").alias("original"), "df"), "original")
-    single = written(single.where(F.col("form").rlike("[A-Za-z].*[A-Za-z]") | F.col("form").contains(MARK)), "single")
+    single = written(single, "single")
     marks = words.select("word", "df").mapInArrow(_features, "feature string, word string, df bigint")
     common = marks.groupBy("feature").agg(F.sum("df").alias("n"))
     asked = single.select(F.col("form").alias("word")).union(single.select(F.col("original").alias("word"))).distinct()
@@ -160,7 +164,10 @@ def garbled_words(words: DataFrame) -> DataFrame:
     return (
         words.select("word").join(hit, "word", "left").join(single, "word", "left")
         .where(F.col("fix").isNotNull() | F.col("single").isNotNull() | F.col("word").contains(MARK))
-        .select("word", F.when(F.col("fix").isNotNull(), _mended("word", "fix")).otherwise(F.col("single")).alias("original"))
+        .select(
+            "word", F.when(F.col("fix").isNotNull(), _mended("word", "fix")).otherwise(F.col("single")).alias("original"),
+            (F.col("fix").isNotNull() | F.col("word").contains(MARK) | F.col("word").rlike("[A-Za-z].*[A-Za-z]")).alias("sure"), F.col("fix").isNull().alias("single"),
+        )
     )
 
 
@@ -186,15 +193,16 @@ class Garbled:
         self.table = written(garbled_words(written(counts, "words")), "garbled")
 
     def hits(self) -> DataFrame:
-        """(id, word, original), one row for each garbled word of a document."""
+        """(id, word, original, sure, single), one row for each word of a document that is or may be garbled."""
         return self.words.select("id", F.explode("words").alias("word")).join(self.table, "word")
 
     def found(self) -> DataFrame:
-        return self.hits().select(F.col("id").alias(self.id_col)).distinct()
+        return self.hits().where("sure").select(F.col("id").alias(self.id_col)).distinct()
 
     def restored(self) -> DataFrame:
         """(id, text, n_words, n_restored) of the found documents, each known original put in place."""
-        fixes = self.hits().groupBy("id").agg(F.collect_list(F.struct("word", "original")).alias("fixes"))
+        hits = self.hits().groupBy("id").agg(F.bool_or("sure").alias("sure"), F.bool_or(F.expr("sure and single")).alias("single"), F.collect_list(F.struct("word", "original", F.col("sure").alias("ok"))).alias("all"))
+        fixes = hits.where("sure").select("id", F.filter("all", lambda x: x["ok"] | F.col("single")).alias("fixes"))
         rows = self.docs.select(F.col(self.id_col).alias("id"), F.col(self.text_col).alias("text")).join(fixes, "id")
 
         id_col = self.id_col
