@@ -63,17 +63,18 @@ def _read_as(encoding: str) -> list[str]:
 _TABLES: dict[str, list[str]] = {}
 
 
-def misread(raw: bytes, encoding: str, marks: bool = False) -> str:
+def misread(raw: bytes, encoding: str, undefined: str = "control") -> str:
+    """Bytes read in an encoding; those it leaves out become control characters, or are replaced or ignored."""
     if encoding not in _TABLES:
         _TABLES[encoding] = _read_as(encoding)
-    if marks:
-        return raw.decode(encoding, "replace")
+    if undefined != "control":
+        return raw.decode(encoding, undefined)
     return "".join(map(_TABLES[encoding].__getitem__, raw))
 
 
 def multi_forms(run: str) -> set[str]:
     """A run after one, two or three wrong readings of its UTF-8 bytes."""
-    steps = [(e, False) for e in MULTI] + [("cp1252", True), ("cp1250", True), ("cp1251", True)]
+    steps = [(e, "control") for e in MULTI] + [(e, how) for e in ("cp1252", "cp1250", "cp1251") for how in ("replace", "ignore")]
     once = {s: misread(run.encode(), *s) for s in steps}
     forms = set(once.values())
     for s, form in once.items():
@@ -82,8 +83,7 @@ def multi_forms(run: str) -> set[str]:
             forms.add(twice)
             if s == t:
                 forms.add(misread(twice.encode(), *t))
-    forms.discard(run)
-    return forms
+    return {f for f in forms if len(f) > 1 and f != run}  # one character may be a letter of its own
 
 
 def single_forms(word: str) -> set[str]:
