@@ -29,7 +29,7 @@ def alias_closure(aliases: DataFrame) -> DataFrame:
 
     On a loop a walk stops at the first code it meets again.
     """
-    nodes = hierarchy(alias_nodes(aliases.withColumnRenamed("pack_id", "map_id")))
+    nodes = hierarchy(alias_nodes(aliases.withColumnRenamed("pack_id", "map_id")), paths=False)
     return nodes.where("parent_id is not null").select(F.col("map_id").alias("pack_id"), F.col("node_id").cast("int").alias("old_code"), F.col("end_id").cast("int").alias("resolved_code"), F.col("in_cycle").alias("cyclic"))
 
 

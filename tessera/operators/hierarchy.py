@@ -6,8 +6,9 @@ child is peeled. Reverse peel order then assigns root, depth and path from the t
 peeled contain cycles; everything that hangs on them reaches no root either.
 
 Maps are independent of each other. Maps of at most ``in_task_rows`` nodes are peeled inside tasks, many maps
-in one task, with flat arrays; larger ones are peeled by rounds of joins over written tables, whatever their
-size. Both give the same rows.
+in one task, with flat arrays. A larger map is first divided into its trees (each node finds its root by steps
+that double, so in as many rounds as the depth has binary digits), and the trees are peeled inside tasks likewise.
+A single tree beyond the bound is peeled by rounds of joins over written tables. All give the same rows.
 
 Defined results
 ---------------
@@ -21,6 +22,7 @@ Defined results
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 
@@ -54,7 +56,7 @@ def peel(parent: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
     return waves, size
 
 
-def _peel_maps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _peel_maps(batches: Iterator[pa.RecordBatch], paths: bool = True) -> Iterator[pa.RecordBatch]:
     got = [b.to_pandas() for b in batches]
     if not got or not sum(map(len, got)):
         return
@@ -67,29 +69,48 @@ def _peel_maps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = rows["node_id"].to_numpy(dtype=object)
     root, depth, path, end = np.full(n, -1), np.full(n, -1), [None] * n, np.arange(n)
     for wave in reversed(waves):
-        end[wave] = np.where(parent[wave] < 0, wave, end[parent[wave]])
-        for i in wave.tolist():
-            up = parent[i]
-            if up < 0:
-                root[i], depth[i], path[i] = i, 0, [names[i]]
-            elif path[up] is not None:
-                root[i], depth[i], path[i] = root[up], depth[up] + 1, path[up] + [names[i]]
+        up = parent[wave]
+        top = up < 0
+        end[wave] = np.where(top, wave, end[up])
+        rooted = top | (depth[up] >= 0)
+        root[wave] = np.where(top, wave, np.where(rooted, root[up], -1))
+        depth[wave] = np.where(top, 0, np.where(rooted, depth[up] + 1, -1))
+        if paths:
+            for i, over, ok in zip(wave.tolist(), up.tolist(), rooted.tolist()):
+                if ok:
+                    path[i] = [names[i]] if over < 0 else path[over] + [names[i]]
     cyclic = depth < 0
-    pick = lambda values, index: [None if c else values[k] for c, k in zip(cyclic, index)]
-    out = pa.table(
-        {
-            "map_id": pa.array(rows["map_id"], pa.string()),
-            "node_id": pa.array(names, pa.string()),
-            "parent_id": pa.array([None if p < 0 else names[p] for p in parent], pa.string()),
-            "root_id": pa.array(pick(names, root), pa.string()),
-            "depth": pa.array(depth, pa.int32(), mask=cyclic),
-            "path": pa.array(path, pa.list_(pa.string())),
-            "n_descendants": pa.array(size - 1, pa.int64(), mask=cyclic),
-            "in_cycle": pa.array(cyclic),
-            "end_id": pa.array(names[end], pa.string()),
-        }
-    )
-    yield from out.to_batches(max_chunksize=5000)
+    pick = lambda values, index: [None if k < 0 else values[k] for k in index.tolist()]
+    for lo in range(0, n, 5000):
+        own = slice(lo, lo + 5000)
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(rows["map_id"][own], pa.string()), pa.array(names[own], pa.string()), pa.array(pick(names, parent[own]), pa.string()), pa.array(pick(names, root[own]), pa.string()),
+                pa.array(depth[own], pa.int32(), mask=cyclic[own]), pa.array(path[own], pa.list_(pa.string())), pa.array(size[own] - 1, pa.int64(), mask=cyclic[own]),
+                pa.array(cyclic[own]), pa.array(names[end[own]], pa.string()),
+            ],
+            names=[c.split()[0] for c in OUT.split(", ")],
+        )
+
+
+def _trees(nodes: DataFrame) -> DataFrame:
+    """(map_id, node_id, parent_id, tree): the root of each node's tree, or the smallest node of the cycle it leads to."""
+    key = ["map_id", "node_id"]
+    start = nodes.select(*key, "parent_id", F.coalesce("parent_id", "node_id").alias("jump"), F.col("node_id").alias("low"), F.col("parent_id").isNull().alias("rooted"))
+    state, left, rounds = written(start, "trees"), -1, 0
+    while True:
+        ahead = state.select("map_id", F.col("node_id").alias("jump"), F.col("jump").alias("next"), F.col("low").alias("low_ahead"), F.col("rooted").alias("rooted_ahead"))
+        moved = state.join(ahead, ["map_id", "jump"]).select(*key, "parent_id", F.col("next").alias("jump"), F.least("low", "low_ahead").alias("low"), (F.col("rooted") | F.col("rooted_ahead")).alias("rooted"))
+        moved = written(moved, "trees")
+        forget(state)
+        state, before, rounds = moved, left, rounds + 1
+        left = state.where("not rooted").count()
+        # a chain has nodes at every depth, so a round without news leaves only those that reach no root; those
+        # go on until each has run through its whole cycle
+        if left == 0 or (left == before and 2**rounds >= left):
+            break
+    on_cycle = state.where("not rooted").select("map_id", F.col("node_id").alias("jump"), F.col("low").alias("cycle"))
+    return state.join(on_cycle, ["map_id", "jump"], "left").select(*key, "parent_id", F.when(F.col("rooted"), F.col("jump")).otherwise(F.col("cycle")).alias("tree"))
 
 
 def _peel_rounds(nodes: DataFrame) -> DataFrame:
@@ -134,8 +155,11 @@ def _peel_rounds(nodes: DataFrame) -> DataFrame:
     )
 
 
-def hierarchy(rows: DataFrame, in_task_rows: int = IN_TASK_ROWS) -> DataFrame:
-    """Path, depth, root, number of descendants and cycle mark of each node of (map_id, node_id, parent_id)."""
+def hierarchy(rows: DataFrame, in_task_rows: int = IN_TASK_ROWS, paths: bool = True) -> DataFrame:
+    """Path, depth, root, number of descendants and cycle mark of each node of (map_id, node_id, parent_id).
+
+    Without ``paths`` the column path may be null; everything else is the same.
+    """
     spark = rows.sparkSession
     nodes = (
         rows.where("map_id is not null and node_id is not null")
@@ -145,17 +169,21 @@ def hierarchy(rows: DataFrame, in_task_rows: int = IN_TASK_ROWS) -> DataFrame:
     nodes = written(nodes, "nodes")
     sizes = nodes.groupBy("map_id").count()
     total, largest = sizes.agg(F.coalesce(F.sum("count"), F.lit(0)), F.coalesce(F.max("count"), F.lit(0))).first()
-    small, large = nodes, None
-    if largest > in_task_rows:
-        wide = sizes.where(F.col("count") > in_task_rows).select("map_id")
-        small, large = nodes.join(wide, "map_id", "left_anti"), nodes.join(wide, "map_id", "left_semi")
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / in_task_rows))
-    out = small.repartition(parts, "map_id").mapInArrow(_peel_maps, OUT)
-    if large is not None:
-        key = ["map_id", "node_id"]
-        there = large.select("map_id", F.col("node_id").alias("parent_id"), F.lit(True).alias("there"))
-        large = large.join(there, ["map_id", "parent_id"], "left").select(*key, F.when(F.col("there"), F.col("parent_id")).alias("parent_id"))
-        out = out.unionByName(_peel_rounds(large))
+    run = functools.partial(_peel_maps, paths=paths)
+    if largest <= in_task_rows:
+        return nodes.repartition(parts, "map_id").mapInArrow(run, OUT)
+    wide = sizes.where(F.col("count") > in_task_rows).select("map_id")
+    small, large = nodes.join(wide, "map_id", "left_anti"), nodes.join(wide, "map_id", "left_semi")
+    there = large.select("map_id", F.col("node_id").alias("parent_id"), F.lit(True).alias("there"))
+    large = large.join(there, ["map_id", "parent_id"], "left").select("map_id", "node_id", F.when(F.col("there"), F.col("parent_id")).alias("parent_id"))
+    trees = written(_trees(large), "trees")
+    tall = written(trees.groupBy("map_id", "tree").count().where(F.col("count") > in_task_rows).select("map_id", "tree"), "tall")
+    fit = trees.join(tall, ["map_id", "tree"], "left_anti").select("map_id", "node_id", "parent_id", "tree")
+    together = small.withColumn("tree", F.lit("")).unionByName(fit).repartition(parts, "map_id", "tree")
+    out = together.select("map_id", "node_id", "parent_id").mapInArrow(run, OUT)
+    if not tall.isEmpty():
+        out = out.unionByName(_peel_rounds(trees.join(tall, ["map_id", "tree"], "left_semi").select("map_id", "node_id", "parent_id")))
     return out
 
 
@@ -183,7 +211,7 @@ def alias_nodes(aliases: DataFrame) -> DataFrame:
 def stream_alias_roots(spark, sf_dir: str) -> DataFrame:
     """(code, root) of the codes of map ``stream`` that reach a root other than themselves."""
     rows = alias_nodes(table(spark, sf_dir, "stream_aliases").withColumn("map_id", F.lit("stream")))
-    found = hierarchy(rows).where("not in_cycle and depth > 0")
+    found = hierarchy(rows, paths=False).where("not in_cycle and depth > 0")
     return found.select(F.col("node_id").cast("int").alias("code"), F.col("root_id").cast("int").alias("root"))
 
 

@@ -26,7 +26,7 @@ def p1_rejects(spark, sf_dir):
 
 def p4_found(spark, sf_dir):
     ship(spark)
-    return hierarchy(all_nodes(spark, sf_dir)).select("map_id", "node_id", F.coalesce("root_id", F.lit("cycle")).alias("root_id"))
+    return hierarchy(all_nodes(spark, sf_dir), paths=False).select("map_id", "node_id", F.coalesce("root_id", F.lit("cycle")).alias("root_id"))
 
 
 def p4_paths(spark, sf_dir):

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -53,7 +55,8 @@ def shared_dir(spark: SparkSession) -> str:
     if not named:
         named = spark.sparkContext.getCheckpointDir()
     if not named:
-        named = tempfile.mkdtemp(prefix="tessera-shared-")
+        named = tempfile.mkdtemp(prefix="tessera-shared-")  # no cluster set a folder: a local run
+        atexit.register(shutil.rmtree, named, ignore_errors=True)
         spark.sparkContext.setCheckpointDir(named)
         spark.conf.set("spark.checkpoint.dir", named)
     return named
@@ -73,6 +76,12 @@ def written(df: DataFrame, name: str = "step") -> DataFrame:
     return out
 
 
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete all tables that written() left in the shared folder; no result that reads them may be used afterwards."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark).rstrip('/')}/tessera")
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def forget(df: DataFrame | None) -> None:
     """Delete a table made by written() that nothing reads any more."""
     path = getattr(df, "_tessera_path", None)

@@ -27,7 +27,7 @@ def brute(rows):
     return out
 
 
-@pytest.mark.parametrize("limit", [200_000, 6])
+@pytest.mark.parametrize("limit", [200_000, 6, 1])
 def test_random_forests(spark, limit):
     rng = random.Random(3)
     rows = []
