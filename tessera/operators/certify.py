@@ -14,7 +14,8 @@ from tessera.functions.canonical import digest16
 from tessera.functions.text import normal_definition
 from tessera.functions.vectors import is_finite
 from tessera.operators.aliases import alias_closure, last_statements
-from tessera.operators.translate import code_entries, first_by, live_symbols, symbols_by_code
+from tessera.operators.translate import code_entries, live_symbols, symbols_by_code
+from tessera.session import written
 
 TAU_RESIDUAL = 0.55
 
@@ -53,16 +54,15 @@ def checksums(packs: DataFrame, symbols: DataFrame, codebook: DataFrame, aliases
 
 def violations(packs: DataFrame, symbols: DataFrame, codebook: DataFrame, aliases: DataFrame, expected: DataFrame, require_gloss: bool = True, tau_residual: float = TAU_RESIDUAL) -> DataFrame:
     """(pack_id, gate, rank, pos, message) of every broken rule, of the packs in ``packs``."""
-    only = packs.select("pack_id")
     entries = code_entries(codebook).join(codebook.groupBy("pack_id", "code").agg(F.min("pos").alias("pos")), ["pack_id", "code"])
 
     def rows(df: DataFrame, gate: str, rank: int, pos, *message) -> DataFrame:
-        return df.join(only, "pack_id", "left_semi").select("pack_id", F.lit(gate).alias("gate"), F.lit(rank).alias("rank"), F.col(pos).cast("bigint").alias("pos") if isinstance(pos, str) else pos.cast("bigint").alias("pos"), F.format_string(*message).alias("message"))
+        return df.select("pack_id", F.lit(gate).alias("gate"), F.lit(rank).alias("rank"), F.col(pos).cast("bigint").alias("pos") if isinstance(pos, str) else pos.cast("bigint").alias("pos"), F.format_string(*message).alias("message"))
 
     classes = symbols.select("pack_id", "class_id").distinct()
     missing = entries.join(classes, ["pack_id", "class_id"], "left_anti")
     mapped = symbols.select("pack_id", "pos", "class_id", "code").join(entries.select("pack_id", "code", F.col("class_id").alias("mapped")), ["pack_id", "code"], "left")
-    closure = alias_closure(aliases)
+    closure = written(alias_closure(aliases), "closure")
     loops = closure.where("cyclic").select("pack_id").distinct()
     told = last_statements(aliases).join(closure, ["pack_id", "old_code"])
     nowhere = told.join(symbols_by_code(symbols, codebook).select("pack_id", F.col("code").alias("resolved_code")), ["pack_id", "resolved_code"], "left_anti")
@@ -85,7 +85,7 @@ def violations(packs: DataFrame, symbols: DataFrame, codebook: DataFrame, aliase
     whole = out[0]
     for more in out[1:]:
         whole = whole.unionByName(more)
-    return whole
+    return whole.join(packs.select("pack_id"), "pack_id", "left_semi")
 
 
 GATES = ("addressable", "unfoldable", "gloss_bound", "residual_ok")
@@ -93,7 +93,7 @@ GATES = ("addressable", "unfoldable", "gloss_bound", "residual_ok")
 
 def certify(packs: DataFrame, symbols: DataFrame, codebook: DataFrame, aliases: DataFrame, require_gloss: bool = True, tau_residual: float = TAU_RESIDUAL) -> DataFrame:
     """One certificate for each pack of ``packs`` (one row for each pack_id)."""
-    expected = checksums(packs, symbols, codebook, aliases)
+    expected = written(checksums(packs, symbols, codebook, aliases), "checksums")
     broken = violations(packs, symbols, codebook, aliases, expected, require_gloss, tau_residual)
     found = broken.groupBy("pack_id").agg(
         *(F.bool_or(F.col("gate") == g).alias(f"_{g}") for g in GATES), F.sort_array(F.collect_list(F.struct("rank", "pos", "message"))).alias("_all")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tessera.functions.text import normal_definition
 from tessera.functions.vectors import confidence_cap
 from tessera.operators.aliases import alias_closure
+from tessera.session import written
 
 
 def live_symbols(symbols: DataFrame) -> DataFrame:
@@ -45,9 +46,9 @@ def translate(codes: DataFrame, packs: DataFrame, symbols: DataFrame, codebook:
 
     A row of an unknown pack is ``unknown`` with null checksum. Null codes are unknown too.
     """
-    closure = alias_closure(aliases).select("pack_id", F.col("old_code").alias("code"), "resolved_code")
+    closure = written(alias_closure(aliases), "closure").select("pack_id", F.col("old_code").alias("code"), "resolved_code")
     header = packs.select("pack_id", F.col("checksum").alias("pack_checksum"), F.coalesce("reconstruction_error", F.lit(0.0)).alias("_residual"))
-    found = symbols_by_code(symbols, codebook).select("pack_id", F.col("code").alias("_at"), "symbol")
+    found = written(symbols_by_code(symbols, codebook), "lookup").select("pack_id", F.col("code").alias("_at"), "symbol")  # its size is then known to Spark
     rows = codes.join(closure, ["pack_id", "code"], "left").withColumn("_at", F.coalesce("resolved_code", "code")).withColumn("_aliased", F.col("resolved_code").isNotNull()).drop("resolved_code")
     rows = rows.join(found, ["pack_id", "_at"], "left").join(header, "pack_id", "left")
     s = F.col("symbol")
