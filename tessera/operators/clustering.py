@@ -2,7 +2,7 @@
 
 Observations are held as a written table of (ord, x), x the raw bytes of the float64 vector, so that a pass is a
 narrow scan with numpy kernels. Only k centroids travel; a pass sends back one partial sum for each class and
-partition, merged by Spark. The seeding and the stop rule are part of the contract: largest norm first, then the row
+partition; more than a few are added up by executors first. The seeding and the stop rule are part of the contract: largest norm first, then the row
 farthest from the seeds, ties to the smallest ord; empty classes keep their centroid; on convergence the centroids
 before the last update are kept.
 """
@@ -21,6 +21,8 @@ from tessera.session import written
 MAX_ITER = 64
 #: Elements of the difference array of one step of a kernel.
 _CHUNK = 4_000_000
+#: Partial sums the driver adds up itself.
+MANY = 64
 
 
 def stack_embeddings(rows: DataFrame) -> DataFrame:
@@ -96,16 +98,25 @@ def class_sums(x: DataFrame, centroids: np.ndarray) -> tuple[np.ndarray, np.ndar
                 rows = rows_of(batch)
                 label = squared(rows, centroids).argmin(axis=1)
                 np.add.at(total, label, np.c_[rows, np.ones(len(rows))])
-        used = np.flatnonzero(total[:, d])
-        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(list(total[used]), pa.list_(pa.float64()))], names=["class_id", "sums"])
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["part"])
 
-    merged = x.mapInArrow(run, "class_id int, sums array<double>").groupBy("class_id").agg(F.array(*(F.sum(F.col("sums")[i]) for i in range(d + 1))).alias("s"))
-    out = np.zeros((k, d + 1))
-    for r in merged.collect():  # k rows
-        out[r["class_id"]] = r["s"]
+    out = summed(x.mapInArrow(run, "part binary"), k * (d + 1)).reshape(k, d + 1)
     return out[:, :d], out[:, d]
 
 
+def summed(parts: DataFrame, width: int) -> np.ndarray:
+    """Sum of arrays of ``width`` numbers, one for each partition; many are first added up in groups by the executors."""
+
+    def add(group: pa.Table) -> pa.Table:
+        total = np.sum([np.frombuffer(b, dtype=np.float64) for b in group.column("part").to_pylist()], axis=0)
+        return pa.table({"part": pa.array([total.tobytes()], pa.binary())})
+
+    if parts.rdd.getNumPartitions() > MANY:
+        parts = parts.withColumn("k", F.spark_partition_id() % 32).groupBy("k").applyInArrow(add, "part binary")
+    got = parts.collect()  # at most MANY arrays
+    return np.sum([np.frombuffer(r["part"], dtype=np.float64) for r in got], axis=0) if got else np.zeros(width)
+
+
 def lloyd(x: DataFrame, seeds: np.ndarray, max_iter: int = MAX_ITER) -> tuple[np.ndarray, np.ndarray, int]:
     """(labelling centroids, final centroids, iterations).
 
@@ -157,25 +168,19 @@ def reconstruction_error(x: DataFrame, labels: DataFrame, centroids: np.ndarray)
 
 
 def gram(x: DataFrame) -> np.ndarray:
-    """The d x d matrix of inner products: summed in batches, partitions, and once more in 32 groups before the driver."""
+    """The d x d matrix of inner products, summed in batches and partitions before anything moves."""
+    first = x.first()
+    d = len(first["x"]) // 8 if first else 0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = None
+        total = np.zeros((d, d))
         for batch in batches:
             if batch.num_rows:
                 rows = rows_of(batch)
-                total = rows.T @ rows if total is None else total + rows.T @ rows
-        if total is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["g"])
-
-    def add(group: pa.Table) -> pa.Table:
-        parts = [np.frombuffer(b, dtype=np.float64) for b in group.column("g").to_pylist()]
-        return pa.table({"g": pa.array([np.sum(parts, axis=0).tobytes()], pa.binary())})
+                total += rows.T @ rows
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["part"])
 
-    parts = x.mapInArrow(run, "g binary").withColumn("k", F.spark_partition_id() % 32).groupBy("k").applyInArrow(add, "g binary")
-    total = np.sum([np.frombuffer(r["g"], dtype=np.float64) for r in parts.collect()], axis=0)
-    d = int(np.sqrt(total.size)) if np.ndim(total) else 0
-    return total.reshape(d, d) if d else np.zeros((0, 0))
+    return summed(x.mapInArrow(run, "part binary"), d * d).reshape(d, d)
 
 
 def svd_residual(x: DataFrame, rank: int, n: int) -> float:
