@@ -444,7 +444,7 @@ FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-zA-Z][a-zA-Z0-9'']+') A
 n AS (SELECT lang, count(*) AS n FROM documents WHERE lang IS NOT NULL GROUP BY lang), m AS (SELECT lang, count(*) AS m FROM texts GROUP BY lang),
 k AS (SELECT lang, count(*) AS k, string_agg(token, ', ' ORDER BY rank) FILTER (WHERE rank <= 4) AS head FROM kw GROUP BY lang), x AS (SELECT lang, count(*) AS x, min(text) FILTER (WHERE rank = 1) AS t FROM ex GROUP BY lang)
 SELECT n.lang, CASE WHEN k.k > 0 THEN 'Symbol for ' || head || '.' WHEN x.t IS NOT NULL THEN 'Symbol attested by: ' || CASE WHEN length(x.t) > 80 THEN left(x.t, 77) || '...' ELSE x.t END ELSE '' END AS definition,
-  round(least(1.0, 0.25 + 0.15 * coalesce(m.m, 0) + 0.05 * coalesce(k.k, 0)), 6) AS confidence, n.n AS observation_count, CAST(coalesce(x.x, 0) AS INTEGER) AS n_examples
+  round(CAST(least(1.0, 0.25 + 0.15 * coalesce(m.m, 0) + 0.05 * coalesce(k.k, 0)) AS DOUBLE), 6) AS confidence, n.n AS observation_count, CAST(coalesce(x.x, 0) AS INTEGER) AS n_examples
 FROM n LEFT JOIN m USING (lang) LEFT JOIN k USING (lang) LEFT JOIN x USING (lang)""",
     "symbol_energy": f"""WITH RECURSIVE {_PACKS},
 o AS (SELECT observation_id, arg_min(embedding, ord) AS v FROM observations WHERE observation_id IS NOT NULL AND len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64 GROUP BY observation_id),
