@@ -114,6 +114,17 @@ def test_clusters(spark, cell_rows, block_rows, monkeypatch):
     assert got == brute_clusters(x)
 
 
+@pytest.mark.parametrize("noise", [0.0, 0.01])
+def test_clusters_core_only_above_block_rows(spark, noise, monkeypatch):
+    monkeypatch.setattr(clusters, "BLOCK_ROWS", 20)
+    rng = np.random.default_rng(4)
+    x = np.tile(rng.normal(size=64), (100, 1)) + rng.normal(size=(100, 64)) * noise  # copies or one tight group, nothing around it
+    x = np.concatenate([x, rng.normal(size=(5, 64))])
+    df = spark.createDataFrame(rows_of(x), SCHEMA)
+    got = {(r["id"], r["lead"]) for r in clusters.clusters(df).collect()}
+    assert got == brute_clusters(x) == {(i + 10, 10) for i in range(100)}
+
+
 def test_described_and_empty(spark):
     x = sample(200, 4, seed=3)
     df = spark.createDataFrame(rows_of(x), SCHEMA)
