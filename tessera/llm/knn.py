@@ -1,20 +1,21 @@
 """The k most similar other vectors of every vector.
 
 Method. Cross-polytope hashing: three rounds of random signs and fast Hadamard transforms rotate the unit vectors; the
-nearest signed axes of the first ``m`` coordinates are a vector's buckets. Each of ``TABLES`` rotations is a table;
+nearest signed axes of the first ``m`` coordinates are a vector's buckets. Each of at least ``TABLES`` rotations is a table;
 a vector enters the buckets of its ``PROBES`` nearest axes, so two vectors meet in a table if any of their probes
 agree. The candidates of a bucket are ranked exactly (to 1e-5; 16-bit components) by blocked matrix products,
 each product serving both sides.
 
 Scale. ``m`` grows with the number of vectors so that a bucket has about ``BUCKET_ROWS`` rows; once all signed
-axes are in use a second rotation divides the buckets further. So the work for a vector is bounded and the whole
-grows in proportion. Bucket sizes are counted first. A bucket much above the mean (a third of all rows may lie
+axes are in use a second rotation divides the buckets further. More buckets part more neighbours, so the number of
+tables grows with them until two vectors of cosine ``FAR`` meet with a chance of at least ``LEVEL``, whatever the size: 2 tables
+up to 200,000 vectors, 12 at 2,000,000. The work for a vector grows with the tables. Bucket sizes are counted first. A bucket much above the mean (a third of all rows may lie
 in one direction) is divided into blocks, and all pairs of blocks are ranked in tasks of their own: nothing is
 capped and no candidate of such a bucket is lost.
 
 Accuracy. What is lost are neighbours that share no probe. Neighbours above cosine 0.85 are found almost
 surely; for vectors without any near neighbour the fifth nearest lies at about 0.4, and some of those are
-missed, more of them the larger the table. ``recall`` measures both against brute force (README has figures).
+missed, at most about 1 - ``LEVEL`` of them at any size. ``recall`` measures both against brute force (README has figures).
 
 Defined results
 ---------------
@@ -40,10 +41,11 @@ from tessera.session import written
 K = 5
 TABLES = 2
 PROBES = 2
+FAR, LEVEL = 0.4, 0.75
 BUCKET_ROWS = 25_000
 BLOCK_ROWS = 60_000
 SEED = 20_240_117
-#: Candidates held before they are merged into the lists.
+#: Candidates held before they are merged into the lists, and rows sent at a time.
 HELD = 40_000
 #: No more than this is a cosine of 16-bit vectors off: two rounding errors of half a step over at most 8 in absolute sum.
 ERROR = 2.5e-4
@@ -91,18 +93,39 @@ class Layout:
         want = max(1.0, rows * PROBES / BUCKET_ROWS)
         self.m = min(WIDTH, max(2, 2 ** math.ceil(math.log2(want) - 1)))
         self.sub = max(0, math.ceil(math.log2(max(1.0, want / (2 * self.m))) - 1e-9))
+        self.tables = max(TABLES, math.ceil(math.log(1 - LEVEL) / math.log(1 - min(max(self.meeting(), 1e-3), 0.999))))
+
+    def meeting(self, pairs: int = 8000, tables: int = 4) -> float:
+        """The chance that two vectors of cosine FAR meet in one table: the mean of a few tables, over random pairs."""
+        rng = np.random.default_rng(SEED)
+        a, b = rng.normal(size=(2, pairs, WIDTH))
+        a /= np.sqrt((a * a).sum(axis=1))[:, None]
+        b -= (a * b).sum(axis=1)[:, None] * a
+        b = FAR * a + math.sqrt(1 - FAR * FAR) * b / np.sqrt((b * b).sum(axis=1))[:, None]
+        return float(np.mean([(self.table(a, t)[:, :, None] == self.table(b, t)[:, None, :]).any(axis=(1, 2)).mean() for t in range(tables)]))
+
+    def table(self, rows: np.ndarray, t: int) -> np.ndarray:
+        """Bucket numbers in table t, PROBES for each row."""
+        near = axes(rows, 2 * t, self.m, PROBES).astype(np.int64)
+        fine = axes(rows, 2 * t + 1, min(2 ** (self.sub - 1), WIDTH), 1) if self.sub else 0
+        return (((self.kind << 16) + t) << 40) + (near << 20) + fine
 
     def buckets(self, rows: np.ndarray) -> np.ndarray:
-        """Bucket numbers, TABLES * PROBES for each row."""
-        out = []
-        for t in range(TABLES):
-            near = axes(rows, 2 * t, self.m, PROBES).astype(np.int64)
-            fine = 0
-            if self.sub:
-                half = 2 ** (self.sub - 1)
-                fine = axes(rows, 2 * t + 1, min(half, WIDTH), 1)
-            out.append((((self.kind * TABLES + t) << 40) + (near << 20)) + fine)
-        return np.concatenate(out, axis=1)
+        """Bucket numbers, tables * PROBES for each row."""
+        return np.concatenate([self.table(rows, t) for t in range(self.tables)], axis=1)
+
+
+def entries(layouts: dict[int, Layout], kinds: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, bucket) of every bucket a row enters, by row."""
+    row, bucket = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for kind in np.unique(kinds).tolist():
+        own = np.flatnonzero(kinds == kind)
+        numbers = layouts[kind].buckets(rows[own])
+        row.append(np.repeat(own, numbers.shape[1]))
+        bucket.append(numbers.ravel())
+    row, bucket = np.concatenate(row), np.concatenate(bucket)
+    order = np.argsort(row, kind="stable")
+    return row[order], bucket[order]
 
 
 def _true(mask: np.ndarray) -> np.ndarray:
@@ -179,29 +202,27 @@ def top_pairs(rows: np.ndarray, k: int, side: np.ndarray | None = None, block: i
     return where, best
 
 
-def neighbour_lists(vectors: DataFrame, least: float = -2.0, k: int = K) -> DataFrame:
+def neighbour_lists(vectors: DataFrame, least: float = -2.0, k: int = K, scale: int = 1) -> DataFrame:
     """(kind, id, other, cos): of each vector in each bucket its k nearest there, down to cosine ``least``.
 
-    vectors: (kind int, id bigint, key string, v array<double>).
+    vectors: (kind int, id bigint, key string, v array<double>). scale: the layout of a table so many times as large.
     """
     sizes = {r["kind"]: r["count"] for r in vectors.groupBy("kind").count().collect()}  # as many rows as kinds
-    layouts = {kind: Layout(kind, n) for kind, n in sizes.items()}
+    layouts = {kind: Layout(kind, n * scale) for kind, n in sizes.items()}
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at, rows = unit_rows(batch.column(3))
             kinds = batch.column(0).to_numpy()[at]
-            buckets = np.zeros((len(at), TABLES * PROBES), dtype=np.int64)
-            for kind in np.unique(kinds):
-                buckets[kinds == kind] = layouts[int(kind)].buckets(rows[kinds == kind])
+            row, bucket = entries(layouts, kinds, rows)
             keep = pa.array(at)
-            lists = pa.FixedSizeListArray.from_arrays(pa.array(buckets.ravel()), TABLES * PROBES).cast(pa.list_(pa.int64()))
+            lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(len(at) + 1)).astype(np.int32)), pa.array(bucket))
             yield pa.RecordBatch.from_arrays([batch.column(0).take(keep), batch.column(1).take(keep), batch.column(2).take(keep), lists], names=["kind", "id", "key", "buckets"])
 
     index = written(vectors.mapInArrow(hashed, "kind int, id bigint, key string, buckets array<bigint>"), "lsh-index")
     drop = written(repeats(index.select("kind", "id", "key")), "lsh-repeats")
     loads = index.select(F.explode("buckets").alias("bucket")).groupBy("bucket").count().where(F.col("count") > BLOCK_ROWS)
-    # only buckets far above the mean, at most rows * TABLES * PROBES / BLOCK_ROWS of them
+    # only buckets far above the mean, at most rows * tables * PROBES / BLOCK_ROWS of them
     blocks = {r["bucket"]: -(-r["count"] // (BLOCK_ROWS // 2)) for r in loads.collect()}
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,10 +232,7 @@ def neighbour_lists(vectors: DataFrame, least: float = -2.0, k: int = K) -> Data
                 continue
             kinds, ids = batch.column(0).to_numpy()[at], batch.column(1).to_numpy()[at]
             packed = pack(rows)
-            buckets = np.zeros((len(at), TABLES * PROBES), dtype=np.int64)
-            for kind in np.unique(kinds):
-                buckets[kinds == kind] = layouts[int(kind)].buckets(rows[kinds == kind])
-            row, bucket = np.repeat(np.arange(len(at)), TABLES * PROBES), buckets.ravel()
+            row, bucket = entries(layouts, kinds, rows)
             part, side = np.zeros(len(row), dtype=np.int64), np.zeros(len(row), dtype=np.int8)
             if blocks:
                 hot = np.isin(bucket, list(blocks))
@@ -226,9 +244,10 @@ def neighbour_lists(vectors: DataFrame, least: float = -2.0, k: int = K) -> Data
                         low, high = np.minimum(mine, other), np.maximum(mine, other)
                         extra.append((own, np.full(len(own), name), low * n + high, (mine > other).astype(np.int8)))
                 row, bucket, part, side = (np.concatenate(x) for x in zip(*extra))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(bucket), pa.array(part), pa.array(side), pa.array(kinds[row]), pa.array(ids[row]), packed.take(pa.array(row))], names=["bucket", "part", "side", "kind", "id", "q"]
-            )
+            for lo in range(0, len(row), HELD):
+                own = row[lo : lo + HELD]
+                columns = [bucket[lo : lo + HELD], part[lo : lo + HELD], side[lo : lo + HELD], kinds[own], ids[own]]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, columns), packed.take(pa.array(own))], names=["bucket", "part", "side", "kind", "id", "q"])
 
     def ranked(group: pa.Table) -> pa.Table:
         ids, side = group.column("id").to_numpy(), group.column("side").to_numpy()
@@ -244,9 +263,9 @@ def neighbour_lists(vectors: DataFrame, least: float = -2.0, k: int = K) -> Data
     return rows.groupBy("bucket", "part").applyInArrow(ranked, "kind int, id bigint, other bigint, cos float")
 
 
-def neighbours(vectors: DataFrame, least: float = -2.0, k: int = K) -> DataFrame:
+def neighbours(vectors: DataFrame, least: float = -2.0, k: int = K, scale: int = 1) -> DataFrame:
     """(kind, id, other, cos, rank): the k most similar other vectors of every vector, down to cosine ``least``."""
-    lists = neighbour_lists(vectors, least, k)
+    lists = neighbour_lists(vectors, least, k, scale)
     once = lists.groupBy("kind", "id", "other").agg(F.max("cos").alias("cos"))
     rank = F.row_number().over(Window.partitionBy("kind", "id").orderBy(F.desc("cos"), "other"))
     return once.withColumn("rank", rank).where(F.col("rank") <= k)

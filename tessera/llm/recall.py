@@ -1,4 +1,4 @@
-"""python -m tessera.llm.recall DIR: recall of the neighbour lists against brute force, for every vector whose id is divisible by 100 (or --all)."""
+"""python -m tessera.llm.recall DIR: recall of the neighbour lists against brute force, for every vector whose id is divisible by 100 (or --all). --scale=N: with the bucket layout of N times as many."""
 
 from __future__ import annotations
 
@@ -12,11 +12,11 @@ from tessera.session import get_session, ship
 BANDS = ((-2.0, 0.6), (0.6, 0.99), (0.99, 2.0), (-2.0, 2.0))
 
 
-def recall(spark, sf_dir: str, every: int = 100) -> dict:
+def recall(spark, sf_dir: str, every: int = 100, scale: int = 1) -> dict:
     """{(kind, low, high): (recall, true neighbours)} by the cosine of the true neighbour."""
     raw = vectors.raw_vectors(spark, sf_dir)
     got: dict[tuple[int, int], set[int]] = {}
-    for r in knn.neighbours(raw).where(f"id % {every} = 0").select("kind", "id", "other").collect():
+    for r in knn.neighbours(raw, scale=scale).where(f"id % {every} = 0").select("kind", "id", "other").collect():
         got.setdefault((r["kind"], r["id"]), set()).add(r["other"])
     out = {}
     for kind, name in enumerate(vectors.KINDS):
@@ -50,5 +50,6 @@ def recall(spark, sf_dir: str, every: int = 100) -> dict:
 if __name__ == "__main__":
     session = get_session("local[8]", **{"spark.driver.memory": "12g", "spark.driver.maxResultSize": "4g"})
     ship(session)
-    for (name, low, high), (share, n) in recall(session, sys.argv[1], 1 if "--all" in sys.argv else 100).items():
+    times = max([int(x[8:]) for x in sys.argv if x.startswith("--scale=")], default=1)
+    for (name, low, high), (share, n) in recall(session, sys.argv[1], 1 if "--all" in sys.argv else 100, times).items():
         print(f"{name}: cosine {low:g} to {high:g}: recall {share:.3f} of {n}")

@@ -73,6 +73,17 @@ def test_recall_with_many_buckets():
     assert sum(bool(near[4] & near[5]) for _ in range(1)) == 1  # equal directions share every bucket
 
 
+@pytest.mark.parametrize("rows", [20_000, 200_000, 500_000, 2_000_000])
+def test_meeting_chance_stays_level(rows):
+    rng = np.random.default_rng(11)
+    layout = knn.Layout(1, rows)
+    for cos, share in ((0.4, 0.72), (0.6, 0.87), (0.85, 0.98)):
+        a, b = unit(rng.normal(size=(3000, 64))), rng.normal(size=(3000, 64))
+        b = cos * a + np.sqrt(1 - cos**2) * unit(b - (a * b).sum(axis=1, keepdims=True) * a)
+        x, y = layout.buckets(a), layout.buckets(b)
+        assert (x[:, :, None] == y[:, None, :]).any(axis=(1, 2)).mean() >= share
+
+
 def test_top_pairs_any_size():
     rng = np.random.default_rng(0)
     for n in (0, 1, 3, 100, 700):
