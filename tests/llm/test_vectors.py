@@ -136,6 +136,21 @@ def test_clusters_core_only_above_block_rows(spark, noise, monkeypatch):
     assert got == brute_clusters(x) == {(i + 10, 10) for i in range(100)}
 
 
+@pytest.mark.parametrize("block_rows", [40_000, 4])
+def test_links_between_visitors_of_a_third_cell(spark, block_rows, monkeypatch):
+    monkeypatch.setattr(clusters, "BLOCK_ROWS", block_rows)
+    centroids = np.eye(64, dtype=np.float32)[:3]
+    v = np.zeros((6, 64))
+    v[0, :3], v[1, :3] = (0.4, 0.2, 0.3), (0.2, 0.4, 0.3)  # linked, gaps of 0.2; both close to the third centroid
+    v[:2, 3] = np.sqrt(1 - (v[:2, :3] ** 2).sum(axis=1))
+    v[2:5, :3] = np.eye(3)
+    v[5, 40] = 1.0
+    assert v[0] @ v[1] >= 0.9
+    rows = clusters.units(spark.createDataFrame(rows_of(v), SCHEMA))
+    got = {(r["id"], r["lead"]) for r in clusters.joined(clusters.links(rows, {0: centroids})).collect()}
+    assert got == {(10, 10), (11, 10)}
+
+
 def test_described_and_empty(spark):
     x = sample(200, 4, seed=3)
     df = spark.createDataFrame(rows_of(x), SCHEMA)
