@@ -1,10 +1,10 @@
 """Filling containers of fixed capacity with items of varying length.
 
-Method. Hierarchical multi-length packing. Items longer than the capacity are cut into full pieces and a
-rest; every other item stays whole. Each piece is routed to the smallest context-size tier that holds it. The
-tiers are packed from the longest to the shortest: the pieces of a tier open containers, and the gaps they
-leave are filled from the shorter tiers, with an exact fill where one or two pieces give it, else with the
-largest piece that fits. Last, containers are dealt to step groups in snake order of their fill, so that all
+Method. Longest-first fill, in place of hierarchical multi-length packing, which takes more containers (README).
+Items longer than the capacity are cut into full pieces and a rest; every other item stays whole. The longest
+pieces open containers, and the gaps they leave are filled from all shorter or equal ones, with an exact fill where one or two
+pieces give it, else with the largest piece that fits. The smallest context-size tier that holds a piece is its
+label and doesn't change the plan. Last, containers are dealt to step groups in snake order of their fill, so that all
 groups carry about the same number of tokens.
 
 Only lengths matter for the plan, so it is made on counts: at most ``capacity`` distinct lengths, whatever the
