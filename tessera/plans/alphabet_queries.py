@@ -97,6 +97,12 @@ def alias_follow(spark, sf_dir):
     return al.follow_aliases(table(spark, sf_dir, "pack_aliases"), 3)
 
 
+def alias_follow_default(spark, sf_dir):
+    """At most as many hops as the operator's default, 64."""
+    ship(spark)
+    return al.follow_aliases(table(spark, sf_dir, "pack_aliases"))
+
+
 def alias_cycles(spark, sf_dir):
     ship(spark)
     return al.alias_cycles(table(spark, sf_dir, "pack_aliases"))
@@ -310,7 +316,7 @@ def learn_observations(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    translate_packs, translate_codes, translate_streaming, rewrite_codes, alias_closure, alias_follow, alias_cycles, dangling_aliases, code_lookup, class_lookup, live,
+    translate_packs, translate_codes, translate_streaming, rewrite_codes, alias_closure, alias_follow, alias_follow_default, alias_cycles, dangling_aliases, code_lookup, class_lookup, live,
     pack_checksums, certify_packs, token_counts, keywords_by_language, examples_by_language, definitions_by_language, ngram_embeddings, symbol_energy, capped_confidence,
     prototypes, class_quality, nearest_prototype, alphabet_figures, farthest_first, kmeans_labels, svd_residual, prototype_survival, alias_matching, event_transitions,
     tilted_transitions, learn_embeddings, learn_observations,
@@ -412,6 +418,8 @@ codes AS (SELECT (SELECT min(pack_id) FROM symbols) AS pack_id, stream_id, pos,
 SELECT stream_id, pos, coalesce(new_code, code) AS code, arrived_at FROM stream_codes LEFT JOIN a ON old_code = code""",
     "alias_closure": f"WITH RECURSIVE {_PACKS} SELECT * FROM clo",
     "alias_follow": f"""WITH RECURSIVE {_PACKS.replace("WHERE NOT list_contains(w.seen, w.cur)", "WHERE NOT list_contains(w.seen, w.cur) AND w.hops < 3")}
+SELECT pack_id, old_code, resolved_code AS reached_code FROM clo""",
+    "alias_follow_default": f"""WITH RECURSIVE {_PACKS.replace("WHERE NOT list_contains(w.seen, w.cur)", "WHERE NOT list_contains(w.seen, w.cur) AND w.hops < 64")}
 SELECT pack_id, old_code, resolved_code AS reached_code FROM clo""",
     "alias_cycles": f"WITH RECURSIVE {_PACKS} SELECT pack_id, bool_or(cyclic) AS has_cycle FROM clo GROUP BY pack_id",
     "dangling_aliases": f"""WITH RECURSIVE {_PACKS} SELECT pack_id, old_code, new_code FROM al WHERE NOT EXISTS (SELECT 1 FROM cb WHERE cb.pack_id = al.pack_id AND cb.code = al.new_code)""",

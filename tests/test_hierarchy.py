@@ -86,3 +86,13 @@ def test_follow_aliases(spark):
     closure = {(r["pack_id"], r["old_code"]): (r["resolved_code"], r["cyclic"]) for r in al.alias_closure(df).collect()}
     assert closure[("a", 1)] == (5, False) and closure[("b", 3)] == (1, True) and closure[("c", 2)] == (1, True) and closure[("d", 9)] == (2, True)
     assert {r["pack_id"]: r["has_cycle"] for r in al.alias_cycles(df).collect()} == {"a": False, "b": True, "c": True, "d": True}
+
+
+def test_follow_queries_at_their_bounds(spark, tmp_path):
+    from tessera.plans.alphabet_queries import QUERIES
+
+    chain = [("e", k, k, k + 1) for k in range(70)]
+    spark.createDataFrame(chain, "pack_id string, pos int, old_code int, new_code int").write.parquet(str(tmp_path / "pack_aliases.parquet"))
+    for name, most in (("alias_follow", 3), ("alias_follow_default", 64)):
+        got = {r["old_code"]: r["reached_code"] for r in QUERIES[name](spark, str(tmp_path)).collect()}
+        assert got == {k: min(k + most, 70) for k in range(70)}, name
