@@ -157,7 +157,7 @@ def garbled_words(words: DataFrame) -> DataFrame:
     runs = words.select(F.explode(F.array_distinct(F.regexp_extract_all("word", F.lit(r"[^\x00-\x7F]+"), F.lit(0)))).alias("run"), "df", "word")
     by_run = written(runs.groupBy("run").agg(F.sum("df").alias("df")), "runs")
     pair = "form string, original string"
-    multi = by_run.select("run").mapInArrow(_strings(multi_forms), pair)
+    multi = by_run.select("run").mapInArrow(_strings(multi_forms), pair).hint("merge")  # Spark takes forms for no larger than their words
     multi = multi.join(by_run.select(F.col("run").alias("form"), F.col("df").alias("form_df")), "form").join(by_run.select(F.col("run").alias("original"), "df"), "original").where("df > form_df")
     multi = written(multi.groupBy("form").agg(F.max(F.struct("df", "original")).alias("best")).select("form", "best.original"), "multi")
     # a run read wrong more than once leads to one read wrong less often; document counts rise on the way, so it ends
@@ -170,7 +170,7 @@ def garbled_words(words: DataFrame) -> DataFrame:
     by_runs = written(hit.select(F.col("word").alias("form"), F.col("df").alias("form_df"), _mended("word", "fix").alias("original")).join(original, "original", "left"), "by-runs")
     known = by_runs.where("original_df > form_df").select("form", "original")
 
-    single = words.select("word").where(~F.col("word").contains(MARK)).mapInArrow(_chained, f"{pair}, chains array<string>")
+    single = words.select("word").where(~F.col("word").contains(MARK)).mapInArrow(_chained, f"{pair}, chains array<string>").hint("merge")
     single = single.join(words.select(F.col("word").alias("form"), F.col("df").alias("form_df")), "form").join(original, "original").where("original_df > form_df")
     single = written(single.join(by_runs.select("form"), "form", "left_anti").join(by_runs.select(F.col("form").alias("original")), "original", "left_anti"), "single")
 
