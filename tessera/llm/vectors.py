@@ -2,16 +2,19 @@
 
 Usable: exactly ``WIDTH`` elements, none null, NaN or infinite, not all zero. Usable rows with one non-null
 observation_id are one observation, known by its smallest ord; rows with one symbol_id are one symbol.
+Records with the same 16-bit unit vector are copies: searches see one of them, whatever their number.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.session import table
+from tessera.session import forget, table, written
 
 WIDTH = 64
 KINDS = ("observation", "symbol")
@@ -44,15 +47,57 @@ def unit_rows(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def pack(rows: np.ndarray) -> pa.Array:
     """Unit vectors as 16-bit numbers: 128 bytes each, cosines are exact to about 1e-5."""
-    return pa.array([r.tobytes() for r in np.rint(rows * SCALE).astype(np.int16)], pa.binary())
+    data = np.ascontiguousarray(np.rint(rows * SCALE).astype(np.int16))
+    offsets = np.arange(len(rows) + 1, dtype=np.int32) * (2 * WIDTH)
+    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
 
 
 def unpack(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
-    raw = b"".join(column.to_pylist())
-    return np.frombuffer(raw, dtype=np.int16).reshape(-1, WIDTH).astype(np.float32) / np.float32(SCALE)
+    parts = column.chunks if isinstance(column, pa.ChunkedArray) else [column]
+    rows = [np.zeros((0, WIDTH), dtype=np.int16)]
+    for part in parts:
+        _, offsets, data = part.buffers()
+        if len(part):
+            first = np.frombuffer(offsets, dtype=np.int32)[part.offset]
+            rows.append(np.frombuffer(data, dtype=np.int16, count=len(part) * WIDTH, offset=int(first)).reshape(-1, WIDTH))
+    return np.concatenate(rows).astype(np.float32) / np.float32(SCALE)
 
 
 def repeats(ids: DataFrame) -> DataFrame:
     """Of (kind, id, key): the (kind, id) that stand for a record known by a smaller id."""
     first = ids.where("key is not null").groupBy("kind", "key").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1")
     return ids.join(first, ["kind", "key"]).where("id > first").select("kind", "id")
+
+
+def records(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Usable vectors of (kind, id, key, v) as written tables: (kind, id, q) of distinct ones, (kind, id, rep) of their copies.
+
+    q is the 16-bit unit vector. Of records with the same q the smallest id stands for all; the others are its copies,
+    however many they are, and are brought back by id alone.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, rows = unit_rows(batch.column(3))
+            keep = pa.array(at)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(keep), batch.column(1).take(keep), batch.column(2).take(keep), pack(rows)], names=["kind", "id", "key", "q"])
+
+    usable = written(vectors.select("kind", "id", "key", "v").mapInArrow(run, "kind int, id bigint, key string, q binary"), "usable")
+    again = written(repeats(usable.select("kind", "id", "key")), "repeats")
+    known = usable.join(again, ["kind", "id"], "left_anti").select("kind", "id", "q")
+    marks = known.select("kind", "id", F.unhex(F.md5("q")).alias("mark"))
+    alike = marks.groupBy("kind", "mark").agg(F.min("id").alias("rep"), F.count("*").alias("n")).where("n > 1").select("kind", "mark", "rep")
+    copies = written(marks.join(written(alike, "alike"), ["kind", "mark"]).where("id > rep").select("kind", "id", "rep"), "copies")
+    rows = written(known.join(copies.select("kind", "id"), ["kind", "id"], "left_anti"), "records")
+    for step in (usable, again):
+        forget(step)
+    return rows, copies
+
+
+def smallest_copies(copies: DataFrame, most: int) -> DataFrame:
+    """(kind, rep, n, smallest): how many copies a vector has, and the ``most`` smallest ids of them; by hash buckets first, as one vector may have a third of all rows."""
+    some = Window.partitionBy("kind", "rep", F.pmod("id", F.lit(64))).orderBy("id")
+    last = Window.partitionBy("kind", "rep").orderBy("id")
+    few = copies.withColumn("r", F.row_number().over(some)).where(F.col("r") <= most).withColumn("r", F.row_number().over(last)).where(F.col("r") <= most)
+    few = few.groupBy("kind", "rep").agg(F.sort_array(F.collect_list("id")).alias("smallest"))
+    return copies.groupBy("kind", "rep").agg(F.count("*").alias("n")).join(few, ["kind", "rep"])

@@ -112,45 +112,72 @@ def brute_clusters(x, least=0.85):
     return {(i + 10, label[i] + 10) for i in range(len(x)) if size[label[i]] >= 3}
 
 
-@pytest.mark.parametrize(("cell_rows", "block_rows"), [(4096, 40_000), (60, 40_000), (400, 30), (100, 60)])
-def test_clusters(spark, cell_rows, block_rows, monkeypatch):
+@pytest.mark.parametrize(("cell_rows", "block_rows", "fan", "reach"), [(4096, 40_000, 512, clusters.REACH), (60, 40_000, 512, 1), (400, 30, 512, 1), (100, 60, 512, 1), (20, 40_000, 3, 1), (20, 40_000, 4, clusters.REACH)])
+def test_clusters(spark, cell_rows, block_rows, fan, reach, monkeypatch):
     monkeypatch.setattr(clusters, "BLOCK_ROWS", block_rows)
+    monkeypatch.setattr(clusters, "FAN", fan)  # 3 and 4: trees of centroids
     x = np.concatenate([sample(400, 8, seed=2), sample(10, 1, noise=0.001)[:5]])
     chain = np.zeros((5, 64))
     for i in range(5):  # a chain: only neighbours are linked
         chain[i, 0], chain[i, 1] = np.cos(0.5 * i), np.sin(0.5 * i)
     x = np.concatenate([x, chain])
     df = spark.createDataFrame(rows_of(x) + bad_rows() + rows_of(x[:40], 1), SCHEMA)
-    got = {(r["id"], r["lead"]) for r in clusters.clusters(df, cell_rows=cell_rows).where("kind = 0").collect()}
+    got = {(r["id"], r["lead"]) for r in clusters.clusters(df, cell_rows=cell_rows, reach=reach).where("kind = 0").collect()}
     assert got == brute_clusters(x)
 
 
-@pytest.mark.parametrize("noise", [0.0, 0.01])
-def test_clusters_core_only_above_block_rows(spark, noise, monkeypatch):
+@pytest.mark.parametrize(("noise", "copies"), [(0.0, 1), (0.01, 1), (0.01, 3)])
+def test_clusters_core_only_above_block_rows(spark, noise, copies, monkeypatch):
     monkeypatch.setattr(clusters, "BLOCK_ROWS", 20)
     rng = np.random.default_rng(4)
     x = np.tile(rng.normal(size=64), (100, 1)) + rng.normal(size=(100, 64)) * noise  # copies or one tight group, nothing around it
-    x = np.concatenate([x, rng.normal(size=(5, 64))])
+    x = np.concatenate([np.tile(x, (copies, 1)), rng.normal(size=(5, 64))])
     df = spark.createDataFrame(rows_of(x), SCHEMA)
     got = {(r["id"], r["lead"]) for r in clusters.clusters(df).collect()}
-    assert got == brute_clusters(x) == {(i + 10, 10) for i in range(100)}
+    assert got == brute_clusters(x) == {(i + 10, 10) for i in range(100 * copies)}
 
 
-@pytest.mark.parametrize("block_rows", [40_000, 4])
-def test_links_between_visitors_of_a_third_cell(spark, block_rows, monkeypatch):
+def test_records_sets_copies_apart(spark):
+    x = np.concatenate([sample(20, 2), sample(20, 2)[:8], sample(20, 2)[:3] * 2])
+    rows, copies = vectors.records(spark.createDataFrame(rows_of(x) + bad_rows(), SCHEMA))
+    assert {r["id"] for r in rows.collect()} == {i + 10 for i in range(20) if i not in (5,)}  # 5 is 4, three times as long
+    assert {(r["id"], r["rep"]) for r in copies.collect()} == {(15, 14), *((30 + i, 14 if i == 5 else 10 + i) for i in range(8)), *((38 + i, 10 + i) for i in range(3))}
+    alike = {r["rep"]: (r["n"], r["smallest"]) for r in vectors.smallest_copies(copies, 2).collect()}
+    assert alike[10] == (2, [30, 38]) and alike[14] == (3, [15, 34])
+
+
+@pytest.mark.parametrize(("block_rows", "reach"), [(40_000, 1), (4, 1), (40_000, clusters.REACH)])
+def test_links_between_visitors_of_a_third_cell(spark, block_rows, reach, monkeypatch):
     monkeypatch.setattr(clusters, "BLOCK_ROWS", block_rows)
-    centroids = np.eye(64, dtype=np.float32)[:3]
+    cells = clusters.Cells(5, 4096)
+    cells.divide({-1: np.eye(64, dtype=np.float32)[:3]}, {-1: np.ones(3)})
     v = np.zeros((6, 64))
     v[0, :3], v[1, :3] = (0.4, 0.2, 0.3), (0.2, 0.4, 0.3)  # linked, gaps of 0.2; both close to the third centroid
     v[:2, 3] = np.sqrt(1 - (v[:2, :3] ** 2).sum(axis=1))
     v[2:5, :3] = np.eye(3)
     v[5, 40] = 1.0
     assert v[0] @ v[1] >= 0.9
-    rows = clusters.units(spark.createDataFrame(rows_of(v), SCHEMA))
-    got = {(r["id"], r["lead"]) for r in clusters.joined(clusters.links(rows, {0: centroids})).collect()}
+    rows, _ = vectors.records(spark.createDataFrame(rows_of(v), SCHEMA))
+    got = {(r["id"], r["lead"]) for r in clusters.joined(clusters.links(rows, {0: cells}, reach=reach)).collect()}
     assert got == {(10, 10), (11, 10)}
 
 
+@pytest.mark.parametrize(("k", "fan"), [(1, 512), (50, 512), (600, 512), (600, 30)])
+def test_few_links_are_lost_at_any_number_of_cells(k, fan):
+    rng = np.random.default_rng(12)
+    centers = unit(rng.normal(size=(k, 64))).astype(np.float32)
+    cells = clusters.Cells(k, 1)
+    if k <= fan:
+        cells.divide({-1: centers}, {-1: np.ones(k)})
+    else:  # a tree: every centre below the nearest of some
+        top = centers[:: k // fan]
+        cells.divide({-1: top}, {-1: np.full(len(top), 100.0)})
+        below = (centers @ top.T).argmax(axis=1)
+        cells.divide({j: centers[below == j] for j in cells.open}, {j: np.ones((below == j).sum()) for j in cells.open})
+    assert clusters.lost_links(cells, 0.85) <= 0.001 and clusters.lost_links(cells, 0.9) <= 0.0002
+    assert clusters.lost_links(cells, 0.85, reach=1, pairs=2000) == 0
+
+
 def test_described_and_empty(spark):
     x = sample(200, 4, seed=3)
     df = spark.createDataFrame(rows_of(x), SCHEMA)
