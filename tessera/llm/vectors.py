@@ -63,6 +63,15 @@ def unpack(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return np.concatenate(rows).astype(np.float32) / np.float32(SCALE)
 
 
+def true_cells(mask: np.ndarray) -> np.ndarray:
+    """Flat positions of the true cells; few are, so eight are looked at at once."""
+    if mask.size % 8:
+        return np.flatnonzero(mask)
+    words = np.flatnonzero(mask.ravel().view(np.uint64) != 0)
+    cells = ((words << 3)[:, None] + np.arange(8)).ravel()
+    return cells[mask.ravel()[cells]]
+
+
 def repeats(ids: DataFrame) -> DataFrame:
     """Of (kind, id, key): the (kind, id) that stand for a record known by a smaller id."""
     first = ids.where("key is not null").groupBy("kind", "key").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1")
