@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import functions as F
 
 from tessera.llm import bpe, clusters, knn, mojibake, packing, runs, vectors
-from tessera.operators.hierarchy import stream_alias_roots
+from tessera.operators.hierarchy import alias_nodes, hierarchy
 from tessera.session import ship, table, written
 
 
@@ -36,23 +38,57 @@ def p3_clusters(spark, sf_dir):
 
 
 def _stream_events(spark, sf_dir):
-    roots = written(stream_alias_roots(spark, sf_dir), "roots")
-    codes = table(spark, sf_dir, "stream_codes").join(roots, "code", "left")
-    return codes.select(F.col("stream_id").alias("entity"), "pos", F.coalesce("root", "code").alias("code"), F.col("emitted_at").alias("at"), F.col("arrived_at").alias("arrived"))
+    codes = table(spark, sf_dir, "stream_codes")
+    return codes.select(F.col("stream_id").alias("entity"), "pos", "code", F.col("emitted_at").alias("at"), F.col("arrived_at").alias("arrived"))
+
+
+def _alias_paths(spark, sf_dir):
+    """{code: path from the root} of the codes of map ``stream`` that reach a root; a map that is not small is refused."""
+    rows = alias_nodes(table(spark, sf_dir, "stream_aliases").withColumn("map_id", F.lit("stream")))
+    found = hierarchy(rows).where("not in_cycle").select(F.col("node_id").cast("int").alias("code"), F.col("path").cast("array<int>").alias("path"))
+    paths = found.take(runs.MAX_NEAR + 1)
+    if len(paths) > runs.MAX_NEAR:
+        raise ValueError(f"more than {runs.MAX_NEAR} codes in the alias map")
+    return {r["code"]: r["path"] for r in paths}
+
+
+def _equivalent(spark, sf_dir):
+    """Runs of equal or equivalent codes, each under the root of its codes."""
+    paths = _alias_paths(spark, sf_dir)
+    tree = {}
+    for code, path in paths.items():
+        tree.setdefault(path[0], []).append(code)
+    found = runs.collapse(_stream_events(spark, sf_dir), {(a, b): 0.0 for own in tree.values() for a, b in itertools.combinations(own, 2)})
+    roots = [(code, path[0]) for code, path in paths.items()]
+    roots = spark.createDataFrame(roots, "code int, root int")
+    return found.join(roots, "code", "left").withColumn("code", F.coalesce("root", "code"))
 
 
 def p5_found(spark, sf_dir):
     ship(spark)
-    found = runs.collapse(_stream_events(spark, sf_dir)).where("n_events >= 3")
-    return found.select(F.col("entity").alias("stream_id"), "first_pos", "last_pos")
+    return _equivalent(spark, sf_dir).where("n_events >= 3").select(F.col("entity").alias("stream_id"), "first_pos", "last_pos")
+
+
+def _seconds():
+    return (F.timestamp_diff("MICROSECOND", F.col("first_at"), F.col("last_at")) / F.lit(1e6)).alias("duration_s")
 
 
 def p5_runs(spark, sf_dir):
-    """Every run with its code, count and duration in seconds."""
+    """Every run of equal or equivalent codes with its code, count and duration in seconds."""
+    ship(spark)
+    return _equivalent(spark, sf_dir).select(F.col("entity").alias("stream_id"), "code", "n_events", "first_pos", "last_pos", _seconds())
+
+
+def p5_near_runs(spark, sf_dir):
+    """Runs of near-identical codes: the dissimilarity of two codes of one alias tree is a tenth of the steps between them."""
     ship(spark)
-    found = runs.collapse(_stream_events(spark, sf_dir))
-    seconds = F.timestamp_diff("MICROSECOND", F.col("first_at"), F.col("last_at")) / F.lit(1e6)
-    return found.select(F.col("entity").alias("stream_id"), "code", "n_events", "first_pos", "last_pos", seconds.alias("duration_s"))
+    near = {}
+    for (a, p), (b, q) in itertools.combinations(_alias_paths(spark, sf_dir).items(), 2):
+        common = sum(1 for _ in itertools.takewhile(lambda x: x[0] == x[1], zip(p, q)))
+        if common:
+            near[a, b] = min(runs.FAR, 0.1 * (len(p) + len(q) - 2 * common))
+    found = runs.collapse(_stream_events(spark, sf_dir), near)
+    return found.select(F.col("entity").alias("stream_id"), "code", "n_events", "first_pos", "last_pos", _seconds())
 
 
 def p6_ids(spark, sf_dir):
@@ -84,7 +120,7 @@ def p8_restored(spark, sf_dir):
     return mojibake.Garbled(table(spark, sf_dir, "documents")).restored()
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_neighbours, p3_found, p3_clusters, p5_found, p5_runs, p6_ids, p7_pack, p7_fill, p8_found, p8_restored)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_neighbours, p3_found, p3_clusters, p5_found, p5_runs, p5_near_runs, p6_ids, p7_pack, p7_fill, p8_found, p8_restored)}
 
 _UNITS = """
 rows AS (

@@ -2,6 +2,7 @@ import random
 from datetime import datetime, timedelta
 from itertools import groupby
 
+import numpy as np
 import pytest
 
 from tessera.llm import runs
@@ -16,7 +17,7 @@ def sec(x):
 
 def best_cost(codes, penalty, near):
     far = lambda a, b: 0.0 if a == b else near.get((a, b), near.get((b, a), 1.0))
-    n, kinds = len(codes), sorted(set(codes))
+    n, kinds = len(codes), sorted({*codes, *(b for p in near for a, b in (p, p[::-1]) if a in codes)})
     best = [-penalty] + [0.0] * n
     for end in range(1, n + 1):
         best[end] = min(best[b] + penalty + min(sum(far(c, k) for c in codes[b:end]) for k in kinds) for b in range(end))
@@ -28,20 +29,31 @@ def cost(parts, codes, penalty, near):
     return sum(far(c, k) for b, e, k in parts for c in codes[b:e]) + penalty * (len(parts) - 1)
 
 
+def parts_of(heads, leads, n):
+    return list(zip(heads.tolist(), [*heads.tolist()[1:], n], leads.tolist()))
+
+
 def test_segment_is_optimal():
     rng = random.Random(4)
-    near = {(1, 2): 0.1, (2, 3): 0.3, (1, 3): 0.7}
-    for _ in range(200):
-        codes = [rng.randint(1, 4) for _ in range(rng.randint(1, 12))]
-        parts = runs.segment(codes, [1] * len(codes), 0.2, near)
-        assert [b for b, _, _ in parts] == [0] + [e for _, e, _ in parts[:-1]] and parts[-1][1] == len(codes)
-        assert cost(parts, codes, 0.2, near) == pytest.approx(best_cost(codes, 0.2, near))
-    exact = runs.segment([5, 6, 5, 5], [3, 1, 1, 1], 0.2, {})
-    assert exact == [(0, 1, 5), (1, 2, 6), (2, 4, 5)]
-
-
-@pytest.mark.parametrize("block", [4096, 5])
-def test_exact_runs(spark, block):
+    pairs = {(1, 2): 0.1, (2, 3): 0.3, (1, 3): 0.7, (4, 5): 0.0, (5, 6): 0.0}
+    near = runs.Near(pairs, 0.2)
+    seqs = [[rng.randint(1, 6) for _ in range(rng.randint(1, 12))] for _ in range(300)]
+    starts = np.cumsum([0, *map(len, seqs)])[:-1]
+    codes = np.array([c for s in seqs for c in s])
+    heads, leads = runs.segment(codes, np.ones(len(codes), np.int64), starts, 0.2, near)
+    assert set(starts.tolist()) <= set(heads.tolist()) and (np.diff(heads) > 0).all()
+    for lo, seq in zip(starts.tolist(), seqs):
+        own = (heads >= lo) & (heads < lo + len(seq))
+        parts = parts_of(heads[own] - lo, leads[own], len(seq))
+        assert cost(parts, seq, 0.2, pairs) == pytest.approx(best_cost(seq, 0.2, pairs))
+    heads, leads = runs.segment(np.array([5, 6, 5]), np.array([3, 1, 2]), np.array([0]), 0.2, runs.Near({}, 0.2))
+    assert parts_of(heads, leads, 3) == [(0, 1, 5), (1, 2, 6), (2, 3, 5)]
+    heads, leads = runs.segment(np.array([9, 7, 8, 1]), np.ones(4, np.int64), np.array([0]), 0.2, runs.Near({(9, 7): 0.0, (8, 7): 0.0, (8, 9): 0.0}, 0.2))
+    assert parts_of(heads, leads, 4) == [(0, 3, 7), (3, 4, 1)]
+
+
+@pytest.mark.parametrize(("block", "fan"), [(4096, 1024), (5, 1024), (2, 2)])
+def test_exact_runs(spark, block, fan):
     rng = random.Random(5)
     rows = []
     for e in "ab":
@@ -51,7 +63,7 @@ def test_exact_runs(spark, block):
             for k in range(rng.choice([1, 1, 2])):
                 rows.append((e, pos, rng.choice([None, 1, 1, 1, 2]), sec(rng.choice([None, pos])), sec(1000 + k)))
     df = spark.createDataFrame(rows, SCHEMA)
-    got = sorted(tuple(r) for r in runs.collapse(df, block=block).collect())
+    got = sorted(tuple(r) for r in runs.collapse(df, block=block, fan=fan).collect())
     want = []
     for e in "ab":
         last = {}
@@ -66,13 +78,13 @@ def test_exact_runs(spark, block):
     assert got == sorted(want)
 
 
-@pytest.mark.parametrize("block", [4096, 7])
-def test_near_codes(spark, block):
+@pytest.mark.parametrize(("block", "fan"), [(4096, 1024), (7, 1024), (3, 2)])
+def test_near_codes(spark, block, fan):
     rng = random.Random(6)
     near = {(1, 2): 0.1, (2, 3): 0.15, (1, 9): 0.6}
     codes = [rng.choice([1, 1, 2, 3, 9]) for _ in range(80)]
     df = spark.createDataFrame([("e", i, c, sec(i), sec(i)) for i, c in enumerate(codes)], SCHEMA)
-    got = sorted((r["first_pos"], r["last_pos"] + 1, r["code"]) for r in runs.collapse(df, near, block=block).collect())
+    got = sorted((r["first_pos"], r["last_pos"] + 1, r["code"]) for r in runs.collapse(df, near, block=block, fan=fan).collect())
     assert [b for b, _, _ in got] == [0] + [e for _, e, _ in got[:-1]] and got[-1][1] == 80
     assert cost(got, codes, runs.PENALTY, near) == pytest.approx(best_cost(codes, runs.PENALTY, near))
     with pytest.raises(ValueError):
@@ -83,3 +95,19 @@ def test_edges(spark):
     assert runs.collapse(spark.createDataFrame([], SCHEMA)).count() == 0
     rows = [(None, 1, 1, None, None), ("a", None, 1, None, None), ("a", 1, None, None, None), ("a", 2, 4, None, None), ("a", 2, 4, None, None)]
     assert [tuple(r) for r in runs.collapse(spark.createDataFrame(rows, SCHEMA)).collect()] == [("a", 4, 1, 2, 2, None, None)]
+
+
+def test_rows_come_from_the_programme(spark):
+    """Equivalent codes are joined by the dynamic programme; a long alternating stretch is one segment across blocks."""
+    near = {(1, 2): 0.0, (2, 3): 0.0, (1, 3): 0.0}
+    codes = [1, 2, 3, 2, 2, 1] * 30 + [7] + [2, 3] * 5
+    rows = [("e", i, c, sec(i), sec(i)) for i, c in enumerate(codes)] + [("f", -3, 3, None, None), ("f", 900_000, 1, None, None)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    want = [("e", 1, 180, 0, 179, sec(0), sec(179)), ("e", 1, 10, 181, 190, sec(181), sec(190)), ("e", 7, 1, 180, 180, sec(180), sec(180)), ("f", 1, 2, -3, 900_000, None, None)]
+    assert sorted(tuple(r) for r in runs.collapse(df, near, block=16, fan=4).collect()) == sorted(want)
+
+
+def test_large_batches_are_cut_between_groups(spark):
+    df = spark.range(60_000).selectExpr("'s' || (id % 2) as entity", "id div 2 as pos", "cast(id div 14 % 3 as int) as code", "cast(null as timestamp_ntz) as at", "timestamp_ntz'2022-01-01' as arrived")
+    got = runs.collapse(df).groupBy("entity").agg({"n_events": "sum", "*": "count"}).collect()
+    assert sorted(tuple(r) for r in got) == [("s0", 30_000, 4286), ("s1", 30_000, 4286)]
