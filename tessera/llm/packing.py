@@ -1,14 +1,15 @@
 """Filling containers of fixed capacity with items of varying length.
 
-Method. Longest-first fill, in place of hierarchical multi-length packing, which takes more containers (README).
-Items longer than the capacity are cut into full pieces and a rest; every other item stays whole. The longest
-pieces open containers, and the gaps they leave are filled from all shorter or equal ones, with an exact fill where one or two
-pieces give it, else with the largest piece that fits. The smallest context-size tier that holds a piece is its
-label and doesn't change the plan. Last, containers are dealt to step groups in snake order of their fill, so that all
-groups carry about the same number of tokens.
+Method. Hierarchical multi-length packing. Items longer than the capacity are cut into full pieces and a rest; every
+other item stays whole. (1) Pieces are routed to the smallest of several context-size tiers that holds them. (2) Each tier is
+packed, the longest first: a piece opens a window of its tier's size, and the gap is filled from the shorter
+tiers, by one or two pieces that fill it exactly; a window that can't be filled exactly is left as it is, so that no short piece is
+wasted on it. (3) Windows are combined into containers by their used lengths, the longest first: gaps of long windows are
+filled from the windows of shorter tiers, exactly where one or two windows do, else with the largest that fits. (4) Containers are dealt to step groups
+in snake order of their fill, so that all groups carry about the same number of tokens.
 
 Only lengths matter for the plan, so it is made on counts: at most ``capacity`` distinct lengths, whatever the
-number of items. The plan (container patterns with multiplicities, at most a few per length) is applied to
+number of items. The plan (patterns of windows and of containers with multiplicities, at most a few per length) is applied to
 the pieces by their rank among the pieces of equal length; ranks are counted in hash buckets of the item id,
 so that a length shared by a third of all items is no hot group.
 
@@ -21,6 +22,7 @@ Defined results
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,54 +33,92 @@ from pyspark.sql import functions as F
 from tessera.session import written
 
 CAPACITY = 2048
-TIERS = (256, 512, 1024, 2048)
+TIERS = (512, 1024, 2048)
 GROUP = 8
 
 
-def plan(counts: np.ndarray, tiers: tuple[int, ...]) -> list[tuple[int, list[int]]]:
-    """Container patterns (multiplicity, piece lengths) that use up counts[length] pieces of every length."""
-    capacity = len(counts) - 1
+Patterns = list[tuple[int, list[int]]]
+
+
+def windows(counts: np.ndarray, tiers: tuple[int, ...]) -> Patterns:
+    """Windows (multiplicity, piece lengths) of all tiers that use up counts[length] pieces of every length."""
     left = counts.astype(np.int64).copy()
-    patterns: list[tuple[int, list[int]]] = []
+    out: Patterns = []
     bounds = sorted(tiers, reverse=True)
     for tier, shorter in zip(bounds, [*bounds[1:], 0]):
         for length in range(tier, shorter, -1):
             while left[length]:
-                need = {length: 1}
-                pieces, gap = [length], capacity - length
-                while gap > 0:
-                    fill = _fill(left, need, gap)
-                    if not fill:
-                        break
-                    for x in fill:
-                        pieces.append(x)
-                        need[x] = need.get(x, 0) + 1
-                        gap -= x
-                times = min(int(left[x]) // n for x, n in need.items())
-                for x, n in need.items():
-                    left[x] -= times * n
-                patterns.append((times, pieces))
-    return patterns
+                out.append(_take(left, [length, *_exact(left, tier - length, shorter)]))
+    return out
 
 
-def _fill(left: np.ndarray, need: dict[int, int], gap: int) -> list[int]:
-    """Pieces for a gap: one that fits exactly, two that do, or the largest that fits."""
-    free = left[: gap + 1].copy()
+def containers(counts: np.ndarray) -> Patterns:
+    """Containers (multiplicity, window lengths) that use up counts[length] windows of every length."""
+    left = counts.astype(np.int64).copy()
+    out: Patterns = []
+    for length in range(len(counts) - 1, 0, -1):
+        while left[length]:
+            need, pieces, gap = {length: 1}, [length], len(counts) - 1 - length
+            while gap > 0 and (fill := _fill(left, need, gap)):
+                for x in fill:
+                    pieces.append(x)
+                    need[x] = need.get(x, 0) + 1
+                    gap -= x
+            out.append(_take(left, pieces))
+    return out
+
+
+def _take(left: np.ndarray, pieces: list[int]) -> tuple[int, list[int]]:
+    """The pattern as often as there are pieces for it."""
+    need = Counter(pieces)
+    times = min(int(left[x]) // n for x, n in need.items())
     for x, n in need.items():
-        if x <= gap:
-            free[x] -= n
-    if free[gap] > 0:
+        left[x] -= times * n
+    return times, pieces
+
+
+def _exact(left: np.ndarray, gap: int, most: int) -> list[int]:
+    """One or two pieces of length ``most`` or less that fill a gap, if there are any."""
+    if 0 < gap <= most and left[gap]:
         return [gap]
-    there = free > 0
+    there = left[: gap + 1] > 0
     there[0] = False
+    there[most + 1 :] = False
     pair = there & there[::-1]
-    if gap % 2 == 0 and free[gap // 2] < 2:
+    if gap % 2 == 0 and left[gap // 2] < 2:
         pair[gap // 2] = False
     found = np.flatnonzero(pair)
-    if len(found):
-        return [int(found[-1]), gap - int(found[-1])]
-    found = np.flatnonzero(there)
-    return [int(found[-1])] if len(found) else []
+    return [int(found[-1]), gap - int(found[-1])] if len(found) else []
+
+
+def _fill(left: np.ndarray, need: dict[int, int], gap: int) -> list[int]:
+    """Windows for a gap: one that fits exactly, two that do, or the largest that fits."""
+    free = left[: gap + 1].copy()
+    for x, n in need.items():
+        if x <= gap:
+            free[x] -= n
+    found = np.flatnonzero(free[1:] > 0)
+    return _exact(free, gap, gap) or ([int(found[-1]) + 1] if len(found) else [])
+
+
+def _runs(patterns: Patterns, capacity: int) -> np.ndarray:
+    """Rows (length, first rank, first number of the pattern, offset): which pieces, by rank among those of one length, go where."""
+    taken = np.zeros(capacity + 1, dtype=np.int64)
+    rows, base = [], 0
+    for times, lengths in patterns:
+        offset = 0
+        for x in lengths:
+            rows.append((x, taken[x], base, offset))
+            taken[x] += times
+            offset += x
+        base += times
+    return np.array(sorted(rows), dtype=np.int64).reshape(-1, 4)
+
+
+def _place(runs: np.ndarray, length: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Number and offset of the pattern that holds a piece."""
+    at = np.searchsorted((runs[:, 0] << 44) + runs[:, 1], (length << 44) + rank, side="right") - 1
+    return runs[at, 2] + rank - runs[at, 1], runs[at, 3]
 
 
 def pack(items: DataFrame, id_col: str = "doc_id", size_col: str = "n_tokens", capacity: int = CAPACITY, tiers: tuple[int, ...] = TIERS, group: int = GROUP) -> DataFrame:
@@ -97,24 +137,17 @@ def pack(items: DataFrame, id_col: str = "doc_id", size_col: str = "n_tokens", c
     counts = np.zeros(capacity + 1, dtype=np.int64)
     for row in pieces.where("size > 0").groupBy("size").count().collect():  # at most ``capacity`` rows
         counts[row["size"]] = row["count"]
-    patterns = plan(counts, tiers)
+    made = windows(counts, tiers)
+    made.sort(key=lambda p: sum(p[1]))  # windows of one length are numbered together
+    used = np.zeros(capacity + 1, dtype=np.int64)
+    for times, lengths in made:
+        used[sum(lengths)] += times
+    patterns = containers(used)
     patterns.sort(key=lambda p: -sum(p[1]))
     total = sum(times for times, _ in patterns)
     groups = max(1, -(-total // group))
-
-    # for each length the runs of ranks that go to one place of one pattern
-    taken = np.zeros(capacity + 1, dtype=np.int64)
-    runs, base = [], 0
-    for times, lengths in patterns:
-        offset = 0
-        for x in lengths:
-            runs.append((x, taken[x], base, offset))
-            taken[x] += times
-            offset += x
-        base += times
-    runs.sort()
-    table = np.array(runs, dtype=np.int64).reshape(-1, 4)
-    run_key = (table[:, 0] << 44) + table[:, 1]
+    to_window, to_container = _runs(made, capacity), _runs(patterns, capacity)
+    first_window = np.cumsum(used) - used  # of each length
     bounds = np.array(tiers, dtype=np.int64)
 
     buckets = max(16, int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -129,15 +162,17 @@ def pack(items: DataFrame, id_col: str = "doc_id", size_col: str = "n_tokens", c
             lengths = batch.column(2).to_numpy()
             none = lengths == 0
             order = batch.column(3).fill_null(0).to_numpy(zero_copy_only=False)
-            at = np.searchsorted(run_key, (lengths << 44) + order, side="right") - 1
-            at[none] = 0
-            got = table[at] if len(table) else np.zeros((len(at), 4), np.int64)
-            container = got[:, 2] + order - got[:, 1]
+            container, offset = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
+            some = np.flatnonzero(~none)
+            window, within = _place(to_window, lengths[some], order[some])
+            used_length = np.searchsorted(first_window, window, side="right") - 1
+            container[some], offset[some] = _place(to_container, used_length, window - first_window[used_length])
+            offset[some] += within
             turn, place_in = container // groups, container % groups
             step = np.where(turn % 2 == 0, place_in, groups - 1 - place_in)
             tier = bounds[np.searchsorted(bounds, lengths)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), batch.column(2), pa.array(tier), pa.array(container, mask=none), pa.array(got[:, 3], mask=none), pa.array(step, mask=none)],
+                [batch.column(0), batch.column(1), batch.column(2), pa.array(tier), pa.array(container, mask=none), pa.array(offset, mask=none), pa.array(step, mask=none)],
                 names=[id_col, "piece", size_col, "tier", "container_id", "offset", "step_group"],
             )
 

@@ -60,9 +60,25 @@ def test_plan_is_complete():
     rng = np.random.default_rng(1)
     counts = rng.integers(0, 50, size=129)
     counts[0] = 0
-    left = counts.copy()
-    for times, pieces in packing.plan(counts, (16, 32, 64, 128)):
-        assert sum(pieces) <= 128
+    left, used = counts.copy(), np.zeros(129, dtype=np.int64)
+    for times, pieces in packing.windows(counts, (16, 32, 64, 128)):
+        tier = next(t for t in (16, 32, 64, 128) if t >= pieces[0])
+        assert sum(pieces) <= tier and all(x <= tier // 2 for x in pieces[1:]) and sum(pieces) in (pieces[0], tier)
+        used[sum(pieces)] += times
         for x in pieces:
             left[x] -= times
     assert (left == 0).all()
+    for times, lengths in packing.containers(used):
+        assert sum(lengths) <= 128
+        for x in lengths:
+            used[x] -= times
+    assert (used == 0).all()
+
+
+def test_tiers_change_the_plan():
+    counts = np.zeros(101, dtype=np.int64)
+    counts[[30, 25, 20, 45, 80]] = 4, 2, 2, 2, 2
+    assert packing.windows(counts, (100,)) == [(2, [80]), (2, [45]), (4, [30]), (2, [25]), (2, [20])]  # one tier: all stay loose
+    assert packing.windows(counts, (50, 100)) == [(2, [80, 20]), (2, [45]), (4, [30]), (2, [25])]
+    counts[5] = 1
+    assert packing.windows(counts, (30, 50, 100))[1:3] == [(1, [45, 5]), (1, [45])]
