@@ -29,8 +29,14 @@ def alias_closure(aliases: DataFrame) -> DataFrame:
 
     On a loop a walk stops at the first code it meets again.
     """
-    nodes = hierarchy(alias_nodes(aliases.withColumnRenamed("pack_id", "map_id")), paths=False)
-    return nodes.where("parent_id is not null").select(F.col("map_id").alias("pack_id"), F.col("node_id").cast("int").alias("old_code"), F.col("end_id").cast("int").alias("resolved_code"), F.col("in_cycle").alias("cyclic"))
+    return _walks(aliases).select("pack_id", "old_code", "resolved_code", "cyclic")
+
+
+def _walks(aliases: DataFrame) -> DataFrame:
+    """(pack_id, old_code, resolved_code, cyclic, hops): the closure with the hops of the whole walk (with a loop: until a code is met again)."""
+    nodes = hierarchy(alias_nodes(aliases.withColumnRenamed("pack_id", "map_id"))).where("parent_id is not null")
+    code = lambda c: F.col(c).cast("int")
+    return nodes.select(F.col("map_id").alias("pack_id"), code("node_id").alias("old_code"), code("end_id").alias("resolved_code"), F.col("in_cycle").alias("cyclic"), "hops")
 
 
 def follow_aliases(aliases: DataFrame, max_hops: int = 64) -> DataFrame:
@@ -39,8 +45,6 @@ def follow_aliases(aliases: DataFrame, max_hops: int = 64) -> DataFrame:
     Hops double: a table of 2^i hops is joined to itself, so the bound costs its logarithm in joins.
     """
     step = last_statements(aliases).select("pack_id", "old_code", "new_code")
-    closure = alias_closure(aliases)
-    # whole walks: a tree node needs as many hops as its depth, a walk into a loop its tail and the loop once
     power = step.select("pack_id", F.col("old_code").alias("at"), F.col("new_code").alias("to"))
     reached = step.select("pack_id", "old_code", F.col("old_code").alias("at"), F.lit(True).alias("going"))
     left = max_hops
@@ -52,31 +56,7 @@ def follow_aliases(aliases: DataFrame, max_hops: int = 64) -> DataFrame:
         if left:
             nxt = power.select("pack_id", F.col("at").alias("to"), F.col("to").alias("further"))
             power = power.join(nxt, ["pack_id", "to"], "left").select("pack_id", "at", F.coalesce("further", "to").alias("to"))
-    ends = closure.join(_hops(aliases), ["pack_id", "old_code"])
-    return reached.join(ends, ["pack_id", "old_code"]).select("pack_id", "old_code", F.when(F.col("hops") <= max_hops, F.col("resolved_code")).otherwise(F.col("at")).alias("reached_code"))
-
-
-def _hops(aliases: DataFrame) -> DataFrame:
-    """(pack_id, old_code, hops): the hops of a whole walk (with a loop: until a code is met again)."""
-    return last_statements(aliases).groupBy("pack_id").applyInPandas(_walk_lengths, "pack_id string, old_code int, hops int")
-
-
-def _walk_lengths(rows):
-    import pandas as pd
-
-    leads = dict(zip(rows["old_code"].tolist(), rows["new_code"].tolist()))
-    hops: dict[int, int] = {}
-    for begin in leads:
-        trail, place, at = [], {}, begin
-        while at in leads and at not in hops and at not in place:
-            place[at] = len(trail)
-            trail.append(at)
-            at = leads[at]
-        loop = len(trail) - place[at] if at in place else 0
-        beyond = hops.get(at, 0)
-        for k, code in enumerate(trail):
-            hops[code] = loop if at in place and k >= place[at] else len(trail) - k + beyond if at not in place else place[at] - k + loop
-    return pd.DataFrame({"pack_id": rows["pack_id"].iloc[0], "old_code": list(leads), "hops": [hops[c] for c in leads]})
+    return reached.join(_walks(aliases), ["pack_id", "old_code"]).select("pack_id", "old_code", F.when(F.col("hops") <= max_hops, F.col("resolved_code")).otherwise(F.col("at")).alias("reached_code"))
 
 
 def alias_cycles(aliases: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.operators.hierarchy import all_nodes, descendants, hierarchy
+from tessera.operators.hierarchy import all_nodes, descendants, hierarchy, paths
 from tessera.session import ship, table
 from tessera.sources.rejects import parse_lines, split_lines
 
@@ -26,17 +26,17 @@ def p1_rejects(spark, sf_dir):
 
 def p4_found(spark, sf_dir):
     ship(spark)
-    return hierarchy(all_nodes(spark, sf_dir), paths=False).select("map_id", "node_id", F.coalesce("root_id", F.lit("cycle")).alias("root_id"))
+    return hierarchy(all_nodes(spark, sf_dir)).select("map_id", "node_id", F.coalesce("root_id", F.lit("cycle")).alias("root_id"))
 
 
 def p4_paths(spark, sf_dir):
     ship(spark)
-    return hierarchy(all_nodes(spark, sf_dir)).select("map_id", "node_id", "root_id", "depth", F.array_join("path", ">").alias("path"), "n_descendants", "in_cycle")
+    return paths(all_nodes(spark, sf_dir)).select("map_id", "node_id", "root_id", "depth", F.array_join("path", ">").alias("path"), "n_descendants", "in_cycle")
 
 
 def p4_descendants(spark, sf_dir):
     ship(spark)
-    return descendants(hierarchy(all_nodes(spark, sf_dir)))
+    return descendants(all_nodes(spark, sf_dir))
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_loaded, p1_rejects, p4_found, p4_paths, p4_descendants)}

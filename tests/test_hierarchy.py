@@ -1,10 +1,11 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tessera.operators import aliases as al
-from tessera.operators.hierarchy import alias_nodes, descendants, hierarchy, pack_nodes
+from tessera.operators.hierarchy import Peeled, alias_nodes, descendants, hierarchy, pack_nodes, paths
 
 SCHEMA = "map_id string, node_id string, parent_id string"
 
@@ -34,19 +35,58 @@ def test_random_forests(spark, limit):
     for m in range(4):
         n = (3, 5, 9, 14)[m]
         rows += [(f"m{m}", f"n{i}", rng.choice([None, "gone", *(f"n{j}" for j in range(n))])) for i in range(n)]
-    got = hierarchy(spark.createDataFrame(rows, SCHEMA).withColumn("in_cycle", F.lit("clash")), in_task_rows=limit)
+    df = spark.createDataFrame(rows, SCHEMA).withColumn("in_cycle", F.lit("clash"))
     want = brute(rows)
-    found = {(r["map_id"], r["node_id"]): r for r in got.collect()}
-    assert set(found) == set(want)
+    found = {(r["map_id"], r["node_id"]): r for r in hierarchy(df, limit).collect()}
+    long = {(r["map_id"], r["node_id"]): r for r in paths(df, limit).collect()}
+    assert set(found) == set(long) == set(want)
     for key, (root, path, cyclic, end) in want.items():
         r = found[key]
-        assert (r["root_id"], r["path"], r["in_cycle"], r["end_id"]) == (root, path, cyclic, end), key
+        assert (r["root_id"], r["in_cycle"], r["end_id"]) == (root, cyclic, end), key
+        assert (long[key]["root_id"], long[key]["path"], long[key]["in_cycle"]) == (root, path, cyclic), key
         if not cyclic:
-            assert r["depth"] == len(path) - 1
             below = sum(1 for k, v in want.items() if k[0] == key[0] and v[1] and key[1] in v[1][:-1])
-            assert r["n_descendants"] == below
-    pairs = {(r["map_id"], r["ancestor_id"], r["descendant_id"], r["distance"]) for r in descendants(got).collect()}
-    assert pairs == {(k[0], a, k[1], len(v[1]) - 1 - i) for k, v in want.items() if v[1] for i, a in enumerate(v[1][:-1])}
+            assert (r["depth"], r["hops"], r["n_descendants"]) == (len(path) - 1, len(path) - 1, below)
+            assert (long[key]["depth"], long[key]["n_descendants"]) == (len(path) - 1, below)
+        else:
+            seen, at, up = [], key[1], {n: p for m, n, p in rows if m == key[0]}
+            while at not in seen:
+                seen.append(at)
+                at = up[at]
+            assert r["hops"] == len(seen), key
+    pairs = sorted((r["map_id"], r["ancestor_id"], r["descendant_id"], r["distance"]) for r in descendants(df, limit).collect())
+    assert pairs == sorted((k[0], a, k[1], len(v[1]) - 1 - i) for k, v in want.items() if v[1] for i, a in enumerate(v[1][:-1]))
+
+
+@pytest.mark.parametrize("shape", ["chain", "caterpillar", "random", "star"])
+def test_peeling_of_deep_and_wide_trees(shape):
+    n = 60_000
+    rng = np.random.default_rng(3)
+    parent = {"chain": np.arange(n) - 1, "caterpillar": np.where(np.arange(n) % 2, np.arange(n) - 1, np.arange(n) - 2), "random": (rng.random(n) * np.arange(n)).astype(int), "star": np.zeros(n, dtype=int)}[shape]
+    parent[0] = -1
+    forest = Peeled(parent)
+    depth, size = np.zeros(n, dtype=int), np.ones(n, dtype=int)
+    for v in range(1, n):
+        depth[v] = depth[parent[v]] + 1
+    for v in range(n - 1, 0, -1):
+        size[parent[v]] += size[v]
+    assert (forest.depth == depth).all() and (forest.size == size).all() and (forest.root == 0).all() and (forest.hops == depth).all()
+    assert sorted(forest.order.tolist()) == list(range(n))
+    for v in rng.integers(0, n, 50).tolist():  # all that stand in the slice lead to v
+        own = forest.order[forest.place[v] + 1 : forest.place[v] + size[v]]
+        for w in own[rng.integers(0, len(own), 3)].tolist() if len(own) else []:
+            while depth[w] > depth[v]:
+                w = parent[w]
+            assert w == v
+
+
+def test_a_chain_that_fits_no_task(spark):
+    n = 3000
+    chain = spark.range(n).selectExpr("'m' as map_id", "cast(id as string) as node_id", "case when id > 0 then cast(id - 1 as string) end as parent_id")
+    tail = spark.createDataFrame([("m", "a", "b"), ("m", "b", "c"), ("m", "c", "b"), ("m", "d", "a")], SCHEMA)
+    got = hierarchy(chain.unionByName(tail), in_task_rows=500)
+    assert tuple(got.where("not in_cycle").agg(F.count("*"), F.max("depth"), F.max("n_descendants"), F.sum("depth"), F.sum("n_descendants")).first()) == (n, n - 1, n - 1, n * (n - 1) // 2, n * (n - 1) // 2)
+    assert {(r["node_id"], r["end_id"], r["hops"]) for r in got.where("in_cycle").collect()} == {("a", "b", 3), ("b", "b", 2), ("c", "c", 2), ("d", "b", 4)}
 
 
 def test_edges(spark):
