@@ -7,7 +7,7 @@ import itertools
 from pyspark.sql import functions as F
 
 from tessera.llm import bpe, clusters, knn, mojibake, packing, runs, vectors
-from tessera.operators.hierarchy import alias_nodes, hierarchy
+from tessera.operators.hierarchy import alias_nodes, paths
 from tessera.session import ship, table, written
 
 
@@ -45,11 +45,11 @@ def _stream_events(spark, sf_dir):
 def _alias_paths(spark, sf_dir):
     """{code: path from the root} of the codes of map ``stream`` that reach a root; a map that is not small is refused."""
     rows = alias_nodes(table(spark, sf_dir, "stream_aliases").withColumn("map_id", F.lit("stream")))
-    found = hierarchy(rows).where("not in_cycle").select(F.col("node_id").cast("int").alias("code"), F.col("path").cast("array<int>").alias("path"))
-    paths = found.take(runs.MAX_NEAR + 1)
-    if len(paths) > runs.MAX_NEAR:
+    found = paths(rows).where("not in_cycle").select(F.col("node_id").cast("int").alias("code"), F.col("path").cast("array<int>").alias("path"))
+    known = found.take(runs.MAX_NEAR + 1)
+    if len(known) > runs.MAX_NEAR:
         raise ValueError(f"more than {runs.MAX_NEAR} codes in the alias map")
-    return {r["code"]: r["path"] for r in paths}
+    return {r["code"]: r["path"] for r in known}
 
 
 def _equivalent(spark, sf_dir):
