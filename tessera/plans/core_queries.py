@@ -16,7 +16,7 @@ def p1_found(spark, sf_dir):
 
 def p1_loaded(spark, sf_dir):
     ship(spark)
-    return split_lines(table(spark, sf_dir, "raw_observations"))[0]
+    return parse_lines(table(spark, sf_dir, "raw_observations")).where("status = 'loaded'").select("raw_id", "observation_id", "text", "embedding", "metadata")
 
 
 def p1_rejects(spark, sf_dir):
@@ -64,7 +64,32 @@ walk AS (
   SELECT n.map_id, n.node_id, w.at, w.depth + 1, list_append(w.path, n.node_id) FROM walk w JOIN nodes n ON n.map_id = w.map_id AND n.parent_id = w.node_id)
 """
 
+_FIELD = r'(?:"(?:[^"]|"")*"|[^",\r\n]*)'
+# JSON by RFC 8259: what the parser also takes (commas before a closing bracket, NaN, Infinity, comments) is looked for outside of strings
+_LINES = rf"""
+l AS (SELECT raw_id, line_no, fmt, regexp_replace(raw_line, '^[ \t\r\n]+|[ \t\r\n]+$', '', 'g') AS line FROM raw_observations),
+u AS (SELECT * FROM l WHERE line <> '' AND NOT starts_with(line, '#')),
+k AS (SELECT raw_id, line_no, line, regexp_replace(line, '"(?:[^"\\]|\\.)*"', '""', 'gs') AS bare FROM u WHERE fmt = 'jsonl'),
+j AS (SELECT raw_id, line_no, line, json_valid(line) AND NOT regexp_matches(bare, ',[ \t\r\n]*[}}\]]') AND NOT regexp_matches(bare, 'N|I|i|//|/\*') AS ok FROM k),
+jo AS (SELECT raw_id, line_no, CASE WHEN ok THEN json_type(line) END AS t, CASE WHEN ok THEN line END AS line FROM j),
+jv AS (
+  SELECT raw_id, line_no, json_type(line, '$.observation_id') AS it, line ->> '$.observation_id' AS id, json_type(line, '$.embedding') AS et, line -> '$.embedding' AS emb,
+    json_type(line, '$.text') AS tt, line ->> '$.text' AS text FROM jo WHERE t = 'OBJECT'),
+c AS (SELECT raw_id, line, regexp_full_match(line, '{_FIELD}(,{_FIELD}){{3}}', 's') AS ok FROM u WHERE fmt = 'csv'),
+cf AS (SELECT raw_id, regexp_extract(line, '^({_FIELD}),({_FIELD}),({_FIELD}),({_FIELD})$', ['id', 'text', 'emb', 'meta'], 's') AS f FROM c WHERE ok),
+cv AS (SELECT raw_id, list_transform([f.id, f.text, f.emb], lambda x: CASE WHEN starts_with(x, '"') THEN replace(substr(x, 2, length(x) - 2), '""', '"') ELSE x END) AS f FROM cf),
+v AS (
+  SELECT raw_id, CASE WHEN it IS NULL THEN 'obs-' || line_no WHEN it IN ('VARCHAR', 'UBIGINT', 'BIGINT', 'HUGEINT') THEN id ELSE '' END AS id,
+    et IS NULL OR et = 'NULL' AS none, CAST(emb AS VARCHAR) AS emb, coalesce(tt <> 'NULL', false) AND text IS DISTINCT FROM '' AS has_text FROM jv
+  UNION ALL SELECT raw_id, f[1], f[3] IN ('', 'null'), f[3], f[2] <> '' FROM cv),
+e AS (SELECT raw_id, id, none, has_text, CASE WHEN NOT none AND json_valid(emb) THEN emb END AS emb FROM v),
+g AS (SELECT *, none OR (json_type(emb) = 'ARRAY' AND json_array_length(emb) = 0) AS missing,
+  json_type(emb) = 'ARRAY' AND json_array_length(emb) = 16 AND len(list_filter(TRY_CAST(emb AS JSON[]), lambda x: json_type(x) IN ('UBIGINT', 'BIGINT', 'DOUBLE', 'HUGEINT') AND isfinite(TRY_CAST(CAST(x AS VARCHAR) AS DOUBLE)))) = 16 AS whole FROM e),
+good AS (SELECT * FROM g WHERE regexp_full_match(id, '[A-Za-z0-9._:-]{{1,64}}') AND CASE WHEN missing THEN has_text ELSE coalesce(whole, false) END)
+"""
+
 SQL = {
+    "p1_found": f"WITH {_LINES} SELECT raw_id FROM u WHERE raw_id NOT IN (SELECT raw_id FROM good)",
     "p4_found": f"""WITH RECURSIVE {_NODES}
 SELECT n.map_id, n.node_id, coalesce(w.at, 'cycle') AS root_id FROM nodes n LEFT JOIN walk w ON w.map_id = n.map_id AND w.node_id = n.node_id""",
     "p4_descendants": f"""WITH RECURSIVE {_NODES}

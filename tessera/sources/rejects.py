@@ -1,10 +1,10 @@
 """Rows that fail to parse: load the valid lines of raw feeds, set the others apart with a reason.
 
 Method. The lines of every file arrive as rows (file, line number, format, line). Workers take them
-in bounded blocks (one Arrow batch, ``block_rows`` lines), write the CSV lines of a block as one scratch
-file of the task and let DuckDB read it with ``store_rejects``. Each record is preceded by its row number
+in bounded blocks (one Arrow batch), write the CSV lines of each file in a block as one scratch
+file of the task and let DuckDB read them, file by file in one statement, with ``store_rejects``. Each record is preceded by its row number
 in the block, so line-level errors of the reject table are joined to the raw record exactly, and so are the
-loaded rows. Records that an unfinished quote of an earlier record swallowed show up in neither; they are
+loaded rows. Records that an unfinished quote of an earlier record of their file swallowed show up in neither; they are
 read again, each alone. An exact check of what loaded follows (quoting by RFC 4180, id, embedding).
 JSON lines of the same block are read strictly by RFC 8259.
 
@@ -35,6 +35,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.session import written
+
 EMBEDDING_WIDTH = 16
 ID_PATTERN = re.compile(r"[A-Za-z0-9._:\-]{1,64}")
 TRIM = " \t\r\n"
@@ -174,21 +176,26 @@ def _unescape(value):
     return value
 
 
-def _read_csv(con, lines: dict[int, str]) -> tuple[dict[int, list], dict[int, tuple[str, str]]]:
-    """Loaded fields and rejects of the records, by row number; a swallowed record is in neither."""
+def _read_csv(con, lines: dict[int, str], files: dict[int, str]) -> tuple[dict[int, list], dict[int, tuple[str, str]]]:
+    """Loaded fields and rejects of the records, by row number; a swallowed record is in neither. files: the file of each record."""
     width = max(len(x.encode("utf-8", "surrogatepass")) for x in lines.values()) + 64
+    by_file: dict[str, list[str]] = {}
+    for i, x in lines.items():
+        by_file.setdefault(files[i], []).append(f"{i},{x}\n")
     with tempfile.TemporaryDirectory() as scratch:  # of this task alone, gone when it ends
-        path = os.path.join(scratch, "block.csv")
-        with open(path, "w", encoding="utf-8", errors="replace", newline="") as out:
-            out.writelines(f"{i},{x}\n" for i, x in lines.items())
+        paths = []
+        for k, records in enumerate(by_file.values()):
+            paths.append(os.path.join(scratch, f"{k}.csv"))
+            with open(paths[-1], "w", encoding="utf-8", errors="replace", newline="") as out:
+                out.writelines(records)
         rows = con.execute(
-            f"""SELECT * FROM read_csv('{path}', header=false, auto_detect=false, delim=',', quote='"',
+            f"""SELECT * FROM read_csv({paths}, header=false, auto_detect=false, delim=',', quote='"',
                 escape='"', columns={{'n': 'BIGINT', 'a': 'VARCHAR', 'b': 'VARCHAR', 'c': 'VARCHAR', 'd': 'VARCHAR'}},
                 nullstr='\x1aNULL', strict_mode=true, null_padding=false, store_rejects=true, rejects_limit=0,
                 parallel=false, new_line='\\n', max_line_size={max(2_097_152, 2 * width)},
                 buffer_size={max(4_194_304, 4 * width)})"""
         ).fetchall()
-        errors = con.execute("SELECT csv_line, error_type::VARCHAR, error_message FROM reject_errors ORDER BY line, byte_position").fetchall()
+        errors = con.execute("SELECT csv_line, error_type::VARCHAR, error_message FROM reject_errors ORDER BY file_id, line, byte_position").fetchall()
         con.execute("DROP TABLE IF EXISTS reject_errors; DROP TABLE IF EXISTS reject_scans")
     loaded = {r[0]: list(r[1:]) for r in rows if r[0] in lines and not any(isinstance(v, str) and "\n" in v for v in r[1:])}
     rejected: dict[int, tuple[str, str]] = {}
@@ -210,7 +217,7 @@ _KINDS = {
 }
 
 
-def _csv_block(lines: dict[int, str]) -> dict[int, object]:
+def _csv_block(lines: dict[int, str], files: dict[int, str]) -> dict[int, object]:
     """Fields of each record of a block, or Bad with the reader's reason."""
     import duckdb
 
@@ -220,9 +227,9 @@ def _csv_block(lines: dict[int, str]) -> dict[int, object]:
         # an odd number of quotes can't be framed: such a record would swallow those after it
         found: dict[int, object] = {i: Bad("csv_unterminated_quote", "odd number of quotes") for i, x in lines.items() if x.count('"') % 2}
         ready = {i: _escape(x) for i, x in lines.items() if i not in found}
-        loaded, rejected = _read_csv(con, ready) if ready else ({}, {})
+        loaded, rejected = _read_csv(con, ready, files) if ready else ({}, {})
         for i in [i for i in ready if i not in loaded and i not in rejected]:
-            one_loaded, one_rejected = _read_csv(con, {i: ready[i]})
+            one_loaded, one_rejected = _read_csv(con, {i: ready[i]}, files)
             loaded |= one_loaded
             rejected[i] = one_rejected.get(i, ("INVALID STATE", "record can't be framed"))
         for i in ready:
@@ -244,7 +251,8 @@ def _block(pdf: pd.DataFrame) -> pd.DataFrame:
     numbers = [None if pd.isna(x) else int(x) for x in pdf["line_no"]]
     ids = [None if pd.isna(x) else int(x) for x in pdf["raw_id"]]
     csv = {i: lines[i] for i in todo if formats[i] == "csv"}
-    fields = _csv_block(csv) if csv else {}
+    files = {i: str(name) for i, name in enumerate(pdf["batch_file"])}
+    fields = _csv_block(csv, files) if csv else {}
     for i in todo:
         try:
             if formats[i] == "jsonl":
@@ -272,14 +280,14 @@ def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def parse_lines(lines: DataFrame) -> DataFrame:
     """One row for each line that loads or fails: status, reason, detail and the typed observation.
 
-    ``lines`` needs raw_id, line_no, fmt and raw_line.
+    ``lines`` needs raw_id, batch_file, line_no, fmt and raw_line; a null file is one of its own.
     """
-    return lines.select("raw_id", F.col("line_no").cast("int").alias("line_no"), "fmt", "raw_line").mapInPandas(_blocks, OUT)
+    return lines.select("raw_id", "batch_file", F.col("line_no").cast("int").alias("line_no"), "fmt", "raw_line").mapInPandas(_blocks, OUT)
 
 
 def split_lines(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(observations, rejects): the typed observations, and the rejected lines with their raw record."""
-    parsed = parse_lines(lines)
+    parsed = written(parse_lines(lines), "parsed")  # once for both
     good = parsed.where("status = 'loaded'").select("raw_id", "observation_id", "text", "embedding", "metadata")
     bad = parsed.where("status = 'rejected'").select("raw_id", "reason", "detail")
     raw = lines.select("raw_id", "batch_file", "line_no", "fmt", "raw_line", "received_at")
