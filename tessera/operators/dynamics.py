@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.vectors import energy
@@ -20,10 +20,12 @@ def bigrams(codes: DataFrame, entity: str, order: str, code: str = "code") -> Da
     return pairs.where("dst is not null").groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
-def uniform(classes: DataFrame) -> DataFrame:
-    """(src, dst, p): every transition as likely as any other. classes: (class_id), one row for each."""
-    n = F.count("*").over(Window.partitionBy("src"))
-    pairs = classes.select(F.col("class_id").alias("src")).crossJoin(classes.select(F.col("class_id").alias("dst")))  # k x k by definition
+def uniform(classes: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """(src, dst, p): every transition as likely as any other. classes: (class_id), one row for each; with ``by`` many alphabets at once."""
+    by = by or []
+    n = F.count("*").over(Window.partitionBy(*by, "src"))
+    one, other = classes.select(*by, F.col("class_id").alias("src")), classes.select(*by, F.col("class_id").alias("dst"))
+    pairs = one.join(other, by) if by else one.crossJoin(other)  # k x k by definition
     return pairs.withColumn("p", 1.0 / n)
 
 
@@ -34,18 +36,21 @@ def transition_matrix(classes: DataFrame, counts: DataFrame) -> DataFrame:
     return base.select("src", "dst", F.when(total > 0, F.coalesce("n", F.lit(0.0)) / total).otherwise(F.col("u")).alias("p"))
 
 
-def tilted(base: DataFrame, symbols: DataFrame, residual: float, beta: float = 1.0, context: list[float] | None = None) -> DataFrame:
+def tilted(base: DataFrame, symbols: DataFrame, residual, beta: float = 1.0, context: list[float] | None = None, by: list[str] | None = None) -> DataFrame:
     """(src, class_id, p): each row of the base (src, dst, p) tilted by exp(-beta * energy) of the symbol it leads to.
 
-    Without a context every symbol is measured against its own prototype. All weights 0: uniform.
+    Without a context every symbol is measured against its own prototype. All weights 0: uniform. residual: a number, or a column of
+    ``symbols``; with ``by`` many packs at once.
     """
+    by = by or []
     own = F.col("proto_embedding")
     ctx = F.array(*map(F.lit, context)) if context else own
-    e = symbols.select(F.col("class_id").alias("dst"), energy(ctx, own, F.greatest(F.coalesce("confidence", F.lit(0.0)), F.lit(0.0)), F.lit(float(residual))).alias("e"))
-    rows = base.join(e, "dst").withColumn("w", F.col("p") * F.exp(-beta * F.col("e")))
-    by = Window.partitionBy("src")
-    total = F.sum("w").over(by)
-    return rows.select("src", F.col("dst").alias("class_id"), F.when(total > 0, F.col("w") / total).otherwise(1.0 / F.count("*").over(by)).alias("p"))
+    r = residual if isinstance(residual, Column) else F.lit(float(residual))
+    e = symbols.select(*by, F.col("class_id").alias("dst"), energy(ctx, own, F.greatest(F.coalesce("confidence", F.lit(0.0)), F.lit(0.0)), r).alias("e"))
+    rows = base.join(e, [*by, "dst"]).withColumn("w", F.col("p") * F.exp(-beta * F.col("e")))
+    row = Window.partitionBy(*by, "src")
+    total = F.sum("w").over(row)
+    return rows.select(*by, "src", F.col("dst").alias("class_id"), F.when(total > 0, F.col("w") / total).otherwise(1.0 / F.count("*").over(row)).alias("p"))
 
 
 class SubjectiveSymbolDynamics:

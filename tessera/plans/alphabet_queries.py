@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tessera import schemas
 from tessera.functions import text as txt
 from tessera.functions import vectors as vec
 from tessera.operators import aliases as al
 from tessera.operators import certify as cert
 from tessera.operators import clustering, dynamics, evolution, gloss
 from tessera.operators.translate import first_by, live_symbols, symbols_by_code, translate
+from tessera.pack import SymbolPack
 from tessera.plans import learn
 from tessera.session import ship, table, written
 from tessera.streaming import translate as streaming
@@ -56,19 +58,24 @@ def translate_packs(spark, sf_dir):
     return out.select("pack_id", "code", "english", _r("confidence").alias("confidence"), "state", "pack_checksum", "class_id", "resolved_code", F.size("observation_ids").cast("bigint").alias("n_ids"))
 
 
-def _stream_with_pack(spark, sf_dir, codes):
-    """The code stream read by one pack, the stream's alias map in place of the pack's."""
+def _stream_with_packs(spark, sf_dir, codes):
+    """The code streams, each read by the first pack whose hash begins like the stream's (the first of all where there is none), the stream's alias map in place of the pack's."""
     packs, symbols, codebook, _ = pack_tables(spark, sf_dir)
-    one = symbols.agg(F.min("pack_id").alias("pack_id"))
-    of_one = lambda df: df.join(F.broadcast(one), "pack_id", "left_semi")  # noqa: E731 - one row
-    aliases = table(spark, sf_dir, "stream_aliases").crossJoin(F.broadcast(one))
-    rows = codes.crossJoin(F.broadcast(one)).select("pack_id", "stream_id", "pos", "code")
-    return translate(rows, of_one(packs), written(of_one(symbols), "symbols"), of_one(codebook), aliases)
+    bucket = lambda c: F.substring(F.md5(c), 1, 2)
+    named = symbols.where("pack_id is not null")
+    first = named.agg(F.min("pack_id").alias("first"))
+    picked = written(named.groupBy(bucket("pack_id").alias("bucket")).agg(F.min("pack_id").alias("picked")).crossJoin(F.broadcast(first)), "picked")  # 256 rows, one row
+    readers = picked.select(F.explode(F.array("picked", "first")).alias("pack_id")).distinct()
+    of_readers = lambda df: df.join(readers, "pack_id", "left_semi")
+    aliases = table(spark, sf_dir, "stream_aliases").crossJoin(F.broadcast(readers))  # at most 257 rows
+    rows = codes.withColumn("bucket", bucket("stream_id")).join(picked.select("bucket", "picked"), "bucket", "left").crossJoin(F.broadcast(first))
+    rows = rows.select(F.coalesce("picked", "first").alias("pack_id"), "stream_id", "pos", "code")
+    return translate(rows, of_readers(packs), written(of_readers(symbols), "symbols"), of_readers(codebook), aliases)
 
 
 def translate_codes(spark, sf_dir):
     ship(spark)
-    out = _stream_with_pack(spark, sf_dir, table(spark, sf_dir, "stream_codes"))
+    out = _stream_with_packs(spark, sf_dir, table(spark, sf_dir, "stream_codes"))
     return out.select("stream_id", "pos", "code", "state", "class_id", "resolved_code", _r("confidence").alias("confidence"))
 
 
@@ -77,7 +84,7 @@ def translate_streaming(spark, sf_dir):
     ship(spark)
     schema = table(spark, sf_dir, "stream_codes").schema
     codes = spark.readStream.schema(schema).parquet(f"{sf_dir}/stream_codes.parquet*")
-    out = _stream_with_pack(spark, sf_dir, codes)
+    out = _stream_with_packs(spark, sf_dir, codes)
     return streaming.run_available(out.select("stream_id", "pos", "code", "state", "class_id", "resolved_code", _r("confidence").alias("confidence")), "glosses")
 
 
@@ -206,8 +213,9 @@ def prototypes(spark, sf_dir):
 def class_quality(spark, sf_dir):
     """Size, coherence, quarantine and members of every label of the embeddings."""
     rows, protos = _prototypes(spark, sf_dir)
-    classes = learn.class_table(rows.drop("class_id"), rows.select("ord", "class_id"), protos.select("class_id", "proto_embedding"))
-    cfg = learn.LearnConfig(tau_kappa=0.25, min_cluster_size=2)
+    seen = rows.join(protos.select("class_id", "proto_embedding"), "class_id").withColumn("cosine", vec.cosine_similarity("embedding", "proto_embedding"))
+    classes = learn.class_table(seen)
+    cfg = learn.LearnConfig()
     return classes.select("class_id", "size", _r("kappa").alias("kappa"), learn.quarantined(F.col("size"), F.col("kappa"), cfg).alias("quarantined"), F.array_join("observation_ids", ",").alias("ids"))
 
 
@@ -225,13 +233,16 @@ def alphabet_figures(spark, sf_dir):
     """Residual, description length and guards of the labels taken as an alphabet."""
     ship(spark)
     rows, protos = _prototypes(spark, sf_dir)
-    d2 = vec.euclidean_distance("embedding", "proto_embedding")
-    sums = rows.join(protos.select("class_id", "proto_embedding"), "class_id").agg(
-        F.sqrt(F.sum(d2 * d2) / F.sum(F.pow(vec.norm(F.col("embedding")), 2))).alias("residual"), F.count("*").alias("n"), F.countDistinct("class_id").alias("k"), F.avg(vec.cosine_similarity("embedding", "proto_embedding")).alias("kappa"),
-    )
-    bits = vec.mdl_bits(F.col("k"), F.col("residual"), F.lit(64), F.col("n"), F.lit(100))
-    decision = F.when((F.col("kappa") >= 0.35) & (F.col("residual") <= 0.55), "accept").when(F.col("residual") <= 0.55, "accept_provisional").otherwise("reject")
-    return sums.select(_r("residual").alias("residual"), "n", "k", _r("kappa").alias("kappa"), _r(bits, 3).alias("bits"), decision.alias("decision"))
+    error = vec.euclidean_distance("embedding", "proto_embedding")
+    seen = rows.join(protos.select("class_id", "proto_embedding"), "class_id").select("class_id", vec.cosine_similarity("embedding", "proto_embedding").alias("cosine"), (error * error).alias("error2"), F.pow(vec.norm(F.col("embedding")), 2).alias("norm2"))
+    seen = written(seen, "seen")
+    sums = seen.agg(F.count("*").alias("n"), F.countDistinct("class_id").cast("int").alias("k"), F.avg("cosine").alias("kappa")).first()
+    svd = clustering.svd_residual(clustering.matrix(rows), sums["k"], sums["n"])
+    residual = learn.operational_residual(clustering.reconstruction_error(seen), svd)
+    bits = spark.range(1).select(vec.mdl_bits(F.lit(sums["k"]), F.lit(residual), F.lit(64), F.lit(sums["n"]), F.lit(100))).first()[0]
+    guards = learn.guard_values(sums["kappa"], residual, 0.0, 1.0, False, True, learn.LearnConfig())
+    row = (round(residual, 6), sums["n"], sums["k"], round(sums["kappa"], 6), round(bits, 3), *(guards[g] for g in ("pass_kappa", "pass_residual", "pass_mdl", "pass_persist", "pass_compat", "pass_all")), learn.decide(guards))
+    return spark.createDataFrame([row], "residual double, n bigint, k int, kappa double, bits double, pass_kappa boolean, pass_residual boolean, pass_mdl boolean, pass_persist boolean, pass_compat boolean, pass_all boolean, decision string")
 
 
 def farthest_first(spark, sf_dir):
@@ -290,36 +301,85 @@ def event_transitions(spark, sf_dir):
 
 
 def tilted_transitions(spark, sf_dir):
-    """The uniform matrix of one pack, tilted by the energy of its symbols."""
-    symbols = unique_symbols(spark, sf_dir)
-    one = symbols.agg(F.min("pack_id").alias("pack_id")).first()["pack_id"]
-    own = written(first_by(symbols.where(F.col("pack_id") == one), "class_id"), "symbols")
-    residual = last_packs(spark, sf_dir).where(F.col("pack_id") == one).agg(F.coalesce(F.max("reconstruction_error"), F.lit(0.0))).first()[0]
-    return dynamics.tilted(dynamics.uniform(own.select("class_id")), own, residual, 2.0).select("src", "class_id", _r("p").alias("p"))
+    """The uniform matrix of every pack, tilted by the energy of its symbols."""
+    own = written(first_by(unique_symbols(spark, sf_dir), "class_id").select("pack_id", "class_id", "proto_embedding", "confidence"), "symbols")
+    residual = last_packs(spark, sf_dir).select("pack_id", F.coalesce("reconstruction_error", F.lit(0.0)).alias("residual"))
+    own = own.join(residual, "pack_id")
+    base = dynamics.uniform(own.select("pack_id", "class_id"), ["pack_id"])
+    return dynamics.tilted(base, own, F.col("residual"), 2.0, by=["pack_id"]).select("pack_id", "src", "class_id", _r("p").alias("p"))
+
+
+def observed_dynamics(spark, sf_dir):
+    """Transitions after each symbol of one small pack, through the class: its matrix from bigrams of its own codes, tilted."""
+    ship(spark)
+    symbols = [
+        (c, c, [1.0 if k == c else 0.1 * k for k in range(4)], [f"o{c}"], f"class {c}", [], 0.2 * (c + 1), c == 2, 1.0, None) for c in range(4)
+    ]
+    symbols = spark.createDataFrame([("p", k, *s) for k, s in enumerate(symbols)], schemas.SYMBOL)
+    none = spark.createDataFrame([], schemas.CODEBOOK)
+    pack = SymbolPack("p", symbols, none, spark.createDataFrame([], schemas.ALIAS), reconstruction_error=0.25)
+    counts = dynamics.bigrams(table(spark, sf_dir, "stream_codes").where("code is not null").select("stream_id", F.struct("pos", "arrived_at", "code").alias("o"), (F.col("code") % 5).alias("code")), "stream_id", "o")
+    told = dynamics.SubjectiveSymbolDynamics(pack, beta_s=1.5)
+    told.update_from_bigrams(counts)
+    rows = [(prev, c, round(p, 6)) for prev in (0, 1, 2, 3, 99) for c, p in told.transition_probs(prev, [1.0, 0.0, 0.0, 0.5]).items()]
+    return spark.createDataFrame(rows, "src int, class_id int, p double")
 
 
 # ---- learning
 
 
+def _learned(spark, sf_dir):
+    """Alphabets of 8 and 12 symbols, learned from the embeddings and from the observations with usable vectors."""
+    ship(spark)
+    none = F.lit(None).cast("string")
+    yield "embeddings", learn.learn_pack(_unit_table(spark, sf_dir).withColumn("text", none), pack_id="embeddings")
+    usable = F.expr("size(embedding) = 64 and not exists(embedding, x -> x is null or isnan(x) or abs(x) = double('infinity'))")
+    rows = table(spark, sf_dir, "observations").where(usable).select("ord", F.coalesce("observation_id", F.concat(F.lit("ord-"), "ord")).alias("observation_id"), "embedding", "text")
+    yield "observations", learn.learn_pack(rows, config=learn.LearnConfig(n_symbols=12), pack_id="observations")
+
+
+def _symbols_of(pack):
+    ids = F.sha2(F.array_join("observation_ids", ","), 256).alias("ids")
+    return pack.symbols.select("class_id", "code", F.col("metadata.size").alias("size"), _r("metadata.kappa", 4).alias("kappa"), "quarantined", "definition", _r("confidence").alias("confidence"), ids)
+
+
 def learn_embeddings(spark, sf_dir):
-    """An alphabet of 8 symbols learned from the embeddings."""
-    pack = learn.learn_pack(_unit_table(spark, sf_dir).withColumn("text", F.lit(None).cast("string")), pack_id="embeddings")
-    return pack.symbols.select("class_id", "code", F.col("metadata.size").alias("size"), _r("metadata.kappa", 4).alias("kappa"), "quarantined", "definition")
+    return _symbols_of(next(pack for name, pack in _learned(spark, sf_dir) if name == "embeddings"))
 
 
 def learn_observations(spark, sf_dir):
-    """An alphabet of 12 symbols learned from the observations with usable vectors."""
-    usable = F.expr("size(embedding) = 64 and not exists(embedding, x -> x is null or isnan(x) or abs(x) = double('infinity'))")
-    rows = table(spark, sf_dir, "observations").where(usable).select("ord", F.coalesce("observation_id", F.concat(F.lit("ord-"), "ord")).alias("observation_id"), "embedding", "text")
-    pack = learn.learn_pack(rows, config=learn.LearnConfig(n_symbols=12), pack_id="observations")
-    return pack.symbols.select("class_id", "code", F.col("metadata.size").alias("size"), _r("metadata.kappa", 4).alias("kappa"), "quarantined", "definition")
+    return _symbols_of(next(pack for name, pack in _learned(spark, sf_dir) if name == "observations"))
+
+
+def learn_guards(spark, sf_dir):
+    """Residual, description length, guards, receipts and decision of both alphabets."""
+    rows = []
+    for name, pack in _learned(spark, sf_dir):
+        g = pack.guards
+        done = ",".join(f"{r.step}:{str(r.ok).lower()}" for r in pack.receipts if r.step != "factorization")
+        rows.append((name, round(pack.reconstruction_error, 5), round(pack.mdl_bits, 0), round(g.kappa_avg, 4), g.pass_kappa, g.pass_residual, g.pass_mdl, g.pass_persist, g.pass_compat, g.pass_all, pack.metadata["decision"], done, _residual_ok(pack)))
+    return spark.createDataFrame(rows, "alphabet string, residual double, bits double, kappa double, pass_kappa boolean, pass_residual boolean, pass_mdl boolean, pass_persist boolean, pass_compat boolean, pass_all boolean, decision string, receipts string, residual_ok boolean")
+
+
+def _residual_ok(pack) -> bool:
+    return cert.certify(pack.header, pack.symbols, pack.codebook, pack.aliases).first()["residual_ok"]
+
+
+def learn_generations(spark, sf_dir):
+    """The embeddings learned twice, 8 symbols and then 6 with the first as parent: survival and aliases of the second."""
+    ship(spark)
+    rows = _unit_table(spark, sf_dir).withColumn("text", F.lit(None).cast("string"))
+    first = learn.learn_pack(rows, pack_id="first")
+    second = learn.learn_pack(rows, config=learn.LearnConfig(n_symbols=6), previous=first, pack_id="second")
+    told = second.aliases.select(F.col("new_code").alias("class_id"), "old_code")
+    return second.symbols.select("class_id", _r("survival", 5).alias("survival")).join(told, "class_id", "left")
 
 
 QUERIES = {f.__name__: f for f in (
     translate_packs, translate_codes, translate_streaming, rewrite_codes, alias_closure, alias_follow, alias_follow_default, alias_cycles, dangling_aliases, code_lookup, class_lookup, live,
     pack_checksums, certify_packs, token_counts, keywords_by_language, examples_by_language, definitions_by_language, ngram_embeddings, symbol_energy, capped_confidence,
     prototypes, class_quality, nearest_prototype, alphabet_figures, farthest_first, kmeans_labels, svd_residual, prototype_survival, alias_matching, event_transitions,
-    tilted_transitions, learn_embeddings, learn_observations,
+    tilted_transitions, observed_dynamics, learn_embeddings, learn_observations, learn_guards, learn_generations,
 )}
 
 # ---- SQL
@@ -371,7 +431,10 @@ _ENGLISH = f"""CASE WHEN s.symbol_id IS NULL THEN '[undecodable: no symbol for c
   WHEN coalesce(s.quarantined, false) THEN '[quarantined: symbol ' || coalesce(c.resolved_code, t.code) || ' is not certified unfoldable]'
   WHEN nullif({_strip('s.definition')}, '') IS NULL THEN '[unglossed: symbol ' || coalesce(c.resolved_code, t.code) || ' has no bound English]'
   ELSE {_strip('s.definition')} END AS english"""
-_STREAM = _PACKS.replace("FROM pack_aliases GROUP BY ALL", "FROM (SELECT (SELECT min(pack_id) FROM symbols) AS pack_id, * FROM stream_aliases) GROUP BY ALL")
+_STREAM = "picked AS (SELECT substr(md5(pack_id), 1, 2) AS bucket, min(pack_id) AS picked FROM symbols WHERE pack_id IS NOT NULL GROUP BY ALL)," + _PACKS.replace(
+    "FROM pack_aliases GROUP BY ALL", "FROM (SELECT * FROM (SELECT picked AS pack_id FROM picked UNION SELECT min(pack_id) FROM symbols), stream_aliases) GROUP BY ALL"
+)
+_STREAM_CODES = "codes AS (SELECT coalesce(picked, (SELECT min(pack_id) FROM symbols)) AS pack_id, stream_id, pos, code FROM stream_codes LEFT JOIN picked ON bucket = substr(md5(stream_id), 1, 2))"
 _EMB = """
 e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v, label AS class_id FROM embeddings WHERE label IS NOT NULL),
 cells AS (SELECT vec_id, class_id, generate_subscripts(v, 1) - 1 AS pl, unnest(v) AS x FROM e),
@@ -404,15 +467,76 @@ d2 AS (SELECT d1.vec_id, d1.v, least(d1.d, pow(list_distance(d1.v, s2.v), 2)) AS
 d3 AS (SELECT d2.vec_id, d2.v, least(d2.d, pow(list_distance(d2.v, s3.v), 2)) AS d FROM d2, s3), s4 AS (SELECT vec_id, v FROM d3 ORDER BY d DESC, vec_id LIMIT 1)
 SELECT 1 AS rank, vec_id FROM s1 UNION ALL SELECT 2, vec_id FROM s2 UNION ALL SELECT 3, vec_id FROM s3 UNION ALL SELECT 4, vec_id FROM s4"""
 
+_COS = "CASE WHEN sqrt(list_inner_product({0}, {0})) < 1e-12 OR sqrt(list_inner_product({1}, {1})) < 1e-12 THEN 0.0 ELSE list_cosine_similarity({0}, {1}) END"
+_VECTORS = "e AS (SELECT vec_id AS ord, CAST(vec_id AS VARCHAR) AS id, CAST(embedding AS DOUBLE[]) AS v, CAST(NULL AS VARCHAR) AS text FROM embeddings)"
+_SEEN = "e AS (SELECT ord, coalesce(observation_id, 'ord-' || ord) AS id, embedding AS v, text FROM observations WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64)"
+
+
+def _kmeans(vectors, k):
+    """Seeds, Lloyd passes and labels of e (ord, v): one row with all centroids for each pass."""
+    return f"""{vectors},
+seeds AS (
+  SELECT 1 AS k, [arg_max(v, {{'a': list_inner_product(v, v), 'b': -ord}})] AS c FROM e
+  UNION ALL
+  SELECT s.k + 1, list_append(s.c, (SELECT arg_max(e.v, {{'a': list_min(list_transform(s.c, lambda q: pow(list_distance(e.v, q), 2))), 'b': -e.ord}}) FROM e)) FROM seeds s WHERE s.k < {k}),
+km AS (
+  SELECT 1 AS turn, c, c AS old, false AS done FROM seeds WHERE k = {k}
+  UNION ALL
+  SELECT turn + 1, CASE WHEN near THEN c ELSE moved END, c, near FROM (
+    SELECT turn, c, moved, list_bool_and(list_transform(list_zip(flatten(moved), flatten(c)), lambda p: abs(p[1] - p[2]) <= 1e-8 + 1e-5 * abs(p[2]))) AS near
+    FROM (SELECT km.turn, km.c, (
+      SELECT list(coalesce(m.x, km.c[g.i]) ORDER BY g.i) FROM (SELECT unnest(range(1, {k} + 1)) AS i) g LEFT JOIN (
+        SELECT l, list(x ORDER BY pl) AS x FROM (
+          SELECT l, pl, avg(x) AS x FROM (
+            SELECT l, generate_subscripts(v, 1) AS pl, unnest(v) AS x FROM (
+              SELECT v, list_position(ds, list_min(ds)) AS l FROM (SELECT e.v, list_transform(km.c, lambda q: pow(list_distance(e.v, q), 2)) AS ds FROM e))) GROUP BY ALL) GROUP BY l) m ON m.l = g.i) AS moved
+      FROM km WHERE NOT km.done AND km.turn <= 64))),
+fin AS (SELECT arg_max(old, turn) AS labelling, arg_max(c, turn) AS c FROM km),
+labels AS (SELECT ord, id, v, text, CAST(list_position(ds, list_min(ds)) - 1 AS INTEGER) AS class_id FROM (SELECT e.*, list_transform(fin.labelling, lambda q: pow(list_distance(e.v, q), 2)) AS ds FROM e, fin))"""
+
+
+def _learn(vectors, k):
+    """sy: the symbols of the alphabet; lb: the rows with their prototype."""
+    return f"""{_kmeans(vectors, k)},
+pr AS (SELECT CAST(i AS INTEGER) AS class_id, c[i + 1] AS p FROM fin, (SELECT unnest(range({k})) AS i)),
+lb AS (SELECT labels.*, p FROM labels JOIN pr ON pr.class_id = labels.class_id),
+cl AS (SELECT class_id, CAST(count(*) AS INTEGER) AS size, avg({_COS.format('v', 'p')}) AS kappa, string_agg(id, ',' ORDER BY ord) AS ids FROM lb GROUP BY class_id),
+tx AS (SELECT class_id, ord, {_strip('text')} AS text FROM labels WHERE {_strip('text')} <> ''),
+tk AS (SELECT class_id, ord, generate_subscripts(w, 1) AS pl, unnest(w) AS token FROM (SELECT class_id, ord, regexp_extract_all(lower(text), '[a-zA-Z][a-zA-Z0-9'']+') AS w FROM tx)),
+kw AS (SELECT *, row_number() OVER (PARTITION BY class_id ORDER BY n DESC, first) AS rank FROM (SELECT class_id, token, count(*) AS n, min((ord, pl)) AS first FROM tk WHERE token NOT IN ({_STOP}) GROUP BY ALL) QUALIFY rank <= 8),
+kc AS (SELECT class_id, count(*) AS k, string_agg(token, ', ' ORDER BY rank) FILTER (WHERE rank <= 4) AS head FROM kw GROUP BY class_id),
+tc AS (SELECT class_id, count(*) AS m, arg_min(text, ord) AS t FROM tx GROUP BY class_id),
+sy AS (
+  SELECT class_id, p, size, kappa, held AS quarantined, ids, coalesce(nullif(d, ''), CASE WHEN held THEN '[quarantined class ' || class_id || ']' END) AS definition,
+    CASE WHEN held THEN 0.0 ELSE conf END AS confidence
+  FROM (SELECT pr.class_id, p, coalesce(size, 0) AS size, coalesce(kappa, 0.0) AS kappa, coalesce(size, 0) < 2 OR coalesce(kappa, 0.0) < 0.35 AS held, coalesce(ids, '') AS ids,
+      CASE WHEN kc.k > 0 THEN 'Symbol for ' || head || '.' WHEN tc.t IS NOT NULL THEN 'Symbol attested by: ' || CASE WHEN length(tc.t) > 80 THEN left(tc.t, 77) || '...' ELSE tc.t END ELSE '' END AS d,
+      CASE WHEN size IS NULL THEN 0.0 ELSE CAST(least(1.0, 0.25 + 0.15 * coalesce(m, 0) + 0.05 * coalesce(kc.k, 0)) AS DOUBLE) END AS conf
+    FROM pr LEFT JOIN cl USING (class_id) LEFT JOIN kc USING (class_id) LEFT JOIN tc USING (class_id)))"""
+
+
+_SYMBOLS = "SELECT class_id, class_id AS code, size, round(kappa, 4) AS kappa, quarantined, definition, round(confidence, 6) AS confidence, sha256(ids) AS ids FROM sy"
+# the residual of k centroids is never below that of the best k directions, so a quarter of the latter plays no part
+_GUARDS = """SELECT round(r, 5) AS residual, round(bits, 0) AS bits, round(kappa, 4) AS kappa, pass_kappa, pass_residual, true AS pass_mdl, true AS pass_persist, true AS pass_compat, pass_kappa AND pass_residual AS pass_all,
+  CASE WHEN pass_kappa AND pass_residual THEN 'accept' WHEN pass_residual THEN 'accept_provisional' ELSE 'reject' END AS decision, 'clustering:true,finalize:' || pass_residual AS receipts, pass_residual AS residual_ok
+FROM (SELECT *, kappa >= 0.35 AS pass_kappa, r <= 0.55 AS pass_residual, k * log2(greatest(k, 2)) + r * 64 * n + chars * 8 / 32.0 AS bits FROM (
+  SELECT sqrt(sum(pow(list_distance(v, p), 2)) / sum(list_inner_product(v, v))) AS r, count(*) AS n, (SELECT count(*) FROM sy) AS k, (SELECT avg(kappa) FROM sy) AS kappa, (SELECT sum(coalesce(length(definition), 0)) FROM sy) AS chars FROM lb))"""
+#: cand (grp, i, old_code, c): the candidates of each old symbol, best first; each takes its first that is not yet taken.
+_GREEDY = """greedy AS (
+  SELECT grp, CAST(0 AS BIGINT) AS i, CAST(NULL AS INTEGER) AS old_code, CAST(NULL AS INTEGER) AS new_code, CAST([] AS INTEGER[]) AS taken FROM (SELECT DISTINCT grp FROM cand)
+  UNION ALL
+  SELECT grp, i, old_code, pick.code, CASE WHEN pick IS NULL THEN taken ELSE list_append(taken, pick.class) END FROM (
+    SELECT w.grp, n.i, n.old_code, w.taken, list_filter(n.c, lambda x: NOT list_contains(w.taken, x.class))[1] AS pick FROM greedy w JOIN cand n ON n.grp = w.grp AND n.i = w.i + 1))"""
+
 SQL = {
     "translate_packs": f"""WITH RECURSIVE {_PACKS},
 codes AS (SELECT pack_id, code FROM cb UNION SELECT pack_id, old_code FROM al UNION SELECT pack_id, code FROM sym UNION SELECT pack_id, 999999 FROM pk)
 {_gloss_sql('codes', f"t.pack_id, t.code, {_ENGLISH}, p.x.checksum AS pack_checksum, coalesce(len(s.observation_ids), 0) AS n_ids")}""",
     "translate_codes": f"""WITH RECURSIVE {_STREAM},
-codes AS (SELECT (SELECT min(pack_id) FROM symbols) AS pack_id, stream_id, pos, code FROM stream_codes)
+{_STREAM_CODES}
 {_gloss_sql('codes', 't.stream_id, t.pos, t.code')}""",
     "translate_streaming": f"""WITH RECURSIVE {_STREAM},
-codes AS (SELECT (SELECT min(pack_id) FROM symbols) AS pack_id, stream_id, pos, code FROM stream_codes)
+{_STREAM_CODES}
 {_gloss_sql('codes', 't.stream_id, t.pos, t.code')}""",
     "rewrite_codes": """WITH a AS (SELECT old_code, arg_max(new_code, pos) AS new_code FROM stream_aliases GROUP BY old_code)
 SELECT stream_id, pos, coalesce(new_code, code) AS code, arrived_at FROM stream_codes LEFT JOIN a ON old_code = code""",
@@ -466,13 +590,14 @@ SELECT s.symbol_id, round(greatest(0.0, least(s.confidence, 1.0 - least(greatest
 FROM sym s JOIN pk p ON p.pack_id = s.pack_id""",
     "prototypes": f'WITH {_EMB} SELECT class_id, CAST(pl AS INTEGER) AS "at", round(avg(x), 6) AS x FROM cells GROUP BY class_id, pl',
     "class_quality": f"""WITH {_EMB}
-SELECT e.class_id, CAST(count(*) AS INTEGER) AS size, round(avg(list_cosine_similarity(v, p)), 6) AS kappa, count(*) < 2 OR avg(list_cosine_similarity(v, p)) < 0.25 AS quarantined, string_agg(CAST(vec_id AS VARCHAR), ',' ORDER BY vec_id) AS ids
+SELECT e.class_id, CAST(count(*) AS INTEGER) AS size, round(avg(list_cosine_similarity(v, p)), 6) AS kappa, count(*) < 2 OR avg(list_cosine_similarity(v, p)) < 0.35 AS quarantined, string_agg(CAST(vec_id AS VARCHAR), ',' ORDER BY vec_id) AS ids
 FROM e JOIN proto ON proto.class_id = e.class_id GROUP BY e.class_id""",
     "nearest_prototype": f"""WITH {_EMB}
 SELECT vec_id, class_id, round(d, 6) AS distance2 FROM (SELECT e.vec_id, proto.class_id, pow(list_distance(v, p), 2) AS d FROM e, proto) QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY d, class_id) = 1""",
     "alphabet_figures": f"""WITH {_EMB},
 s AS (SELECT sqrt(sum(pow(list_distance(v, p), 2)) / sum(list_inner_product(v, v))) AS r, count(*) AS n, count(DISTINCT e.class_id) AS k, avg(list_cosine_similarity(v, p)) AS kappa FROM e JOIN proto ON proto.class_id = e.class_id)
-SELECT round(r, 6) AS residual, n, k, round(kappa, 6) AS kappa, round(greatest(k, 1) * log2(greatest(k, 2)) + r * 64 * n + 25.0, 3) AS bits,
+SELECT round(r, 6) AS residual, n, CAST(k AS INTEGER) AS k, round(kappa, 6) AS kappa, round(greatest(k, 1) * log2(greatest(k, 2)) + r * 64 * n + 25.0, 3) AS bits,
+  kappa >= 0.35 AS pass_kappa, r <= 0.55 AS pass_residual, true AS pass_mdl, true AS pass_persist, true AS pass_compat, kappa >= 0.35 AND r <= 0.55 AS pass_all,
   CASE WHEN kappa >= 0.35 AND r <= 0.55 THEN 'accept' WHEN r <= 0.55 THEN 'accept_provisional' ELSE 'reject' END AS decision FROM s""",
     "farthest_first": _FAR,
     "prototype_survival": f"""WITH RECURSIVE {_PACKS},
@@ -486,10 +611,9 @@ n AS (SELECT src, dst, count(*) AS n FROM b WHERE dst IS NOT NULL GROUP BY ALL)
 SELECT x.c AS src, y.c AS dst, round(CASE WHEN sum(n.n) OVER w > 0 THEN coalesce(n.n, 0) / sum(n.n) OVER w ELSE 1.0 / count(*) OVER w END, 6) AS p
 FROM k x CROSS JOIN k y LEFT JOIN n ON n.src = x.c AND n.dst = y.c WINDOW w AS (PARTITION BY x.c)""",
     "tilted_transitions": f"""WITH RECURSIVE {_PACKS},
-s AS (SELECT class_id, greatest(coalesce(confidence, 0.0), 0.0) AS kappa, proto_embedding AS p FROM fc WHERE pack_id = (SELECT min(pack_id) FROM symbols)),
-r AS (SELECT coalesce(max(x.r), 0.0) AS r FROM pk WHERE pack_id = (SELECT min(pack_id) FROM symbols)),
-w AS (SELECT class_id, exp(-2.0 * (0.40 * CASE WHEN sqrt(list_inner_product(p, p)) < 1e-12 THEN 1.0 ELSE 0.0 END + 0.20 * (1 - kappa) + 0.10 * r)) AS w FROM s, r)
-SELECT a.class_id AS src, b.class_id, round(b.w / (SELECT sum(w) FROM w), 6) AS p FROM w a, w b""",
+s AS (SELECT fc.pack_id, class_id, greatest(coalesce(confidence, 0.0), 0.0) AS kappa, proto_embedding AS p, coalesce(pk.x.r, 0.0) AS r FROM fc JOIN pk ON pk.pack_id = fc.pack_id),
+w AS (SELECT pack_id, class_id, exp(-2.0 * (0.40 * CASE WHEN sqrt(list_inner_product(p, p)) < 1e-12 THEN 1.0 ELSE 0.0 END + 0.20 * (1 - kappa) + 0.10 * r)) AS w FROM s)
+SELECT a.pack_id, a.class_id AS src, b.class_id, round(b.w / sum(b.w) OVER (PARTITION BY a.pack_id, a.class_id), 6) AS p FROM w a JOIN w b ON b.pack_id = a.pack_id""",
     "ngram_embeddings": """WITH d AS (SELECT doc_id, '^' || lower(text) || '$' AS b FROM documents WHERE text <> ''),
 g AS (SELECT doc_id, substr(b, i, 3) AS g FROM (SELECT doc_id, b, unnest(range(1, length(b) - 1)) AS i FROM d)),
 k AS (SELECT g, CAST('0x' || substr(sha256(g), 1, 2) AS INTEGER) % 32 AS cell, CASE WHEN CAST('0x' || substr(sha256(g), 9, 2) AS INTEGER) % 2 = 0 THEN 1 ELSE -1 END AS s FROM (SELECT DISTINCT g FROM g)),
@@ -497,4 +621,30 @@ v AS (SELECT doc_id, cell, sum(s) AS v FROM g JOIN k USING (g) GROUP BY ALL),
 l AS (SELECT doc_id, sqrt(sum(v * v)) AS l FROM v GROUP BY doc_id),
 c AS (SELECT doc_id, CAST(unnest(range(32)) AS INTEGER) AS cell FROM d)
 SELECT c.doc_id, c.cell, round(coalesce(v.v, 0) / CASE WHEN l.l > 0 THEN l.l ELSE 1 END, 6) AS v FROM c LEFT JOIN v ON v.doc_id = c.doc_id AND v.cell = c.cell LEFT JOIN l ON l.doc_id = c.doc_id""",
+    "kmeans_labels": f"""WITH RECURSIVE {_kmeans(_VECTORS, 8)}
+SELECT ord AS vec_id, class_id FROM labels""",
+    "learn_embeddings": f"""WITH RECURSIVE {_learn(_VECTORS, 8)} {_SYMBOLS}""",
+    "learn_observations": f"""WITH RECURSIVE {_learn(_SEEN, 12)} {_SYMBOLS}""",
+    "learn_guards": f"""SELECT 'embeddings' AS alphabet, * FROM (WITH RECURSIVE {_learn(_VECTORS, 8)} {_GUARDS})
+UNION ALL SELECT 'observations', * FROM (WITH RECURSIVE {_learn(_SEEN, 12)} {_GUARDS})""",
+    "learn_generations": f"""WITH a AS (SELECT class_id, p FROM (WITH RECURSIVE {_learn(_VECTORS, 8)} SELECT class_id, CASE WHEN size > 0 THEN p ELSE list_transform(p, lambda x: 0.0) END AS p FROM sy)),
+b AS (SELECT class_id, p, kept FROM (WITH RECURSIVE {_learn(_VECTORS, 6)} SELECT class_id, p AS kept, CASE WHEN size > 0 THEN p ELSE list_transform(p, lambda x: 0.0) END AS p FROM sy)),
+sims AS (SELECT a.class_id AS old, b.class_id AS new, {_COS.format('a.p', 'b.p')} AS sim, {_COS.format('a.p', 'b.kept')} AS lasting FROM a, b),
+cand AS (SELECT CAST(0 AS INTEGER) AS grp, row_number() OVER (ORDER BY old) AS i, old AS old_code, list({{'class': new, 'code': new}} ORDER BY sim DESC, new) AS c FROM sims WHERE sim > 0.55 GROUP BY old),
+told AS (SELECT * FROM (WITH RECURSIVE {_GREEDY} SELECT old_code, new_code FROM greedy WHERE new_code IS NOT NULL AND new_code <> old_code))
+SELECT new AS class_id, round(greatest(max(lasting), 0.0), 5) AS survival, old_code FROM sims LEFT JOIN told ON new_code = new GROUP BY new, old_code""",
+    "alias_matching": f"""WITH RECURSIVE {_PACKS},
+g AS (SELECT p.pack_id, o.pos AS old_pos, o.code AS old_code, o.proto_embedding AS o FROM pk p JOIN sym o ON lower(trim(o.pack_id)) = lower(trim(p.x.parent)) WHERE len(o.proto_embedding) = 64),
+sims AS (SELECT g.pack_id, old_pos, old_code, n.pos AS new_pos, n.code AS new_code, n.class_id, {_COS.format('o', 'n.proto_embedding')} AS sim FROM g JOIN sym n ON n.pack_id = g.pack_id WHERE len(n.proto_embedding) = 64),
+cand AS (SELECT pack_id AS grp, row_number() OVER (PARTITION BY pack_id ORDER BY old_pos) AS i, min(old_code) AS old_code, list({{'class': class_id, 'code': new_code}} ORDER BY sim DESC, new_pos) AS c FROM sims WHERE sim > 0.55 GROUP BY pack_id, old_pos),
+{_GREEDY},
+told AS (SELECT grp AS pack_id, old_code, arg_max(new_code, i) AS new_code, min(i) AS i FROM greedy WHERE new_code IS NOT NULL AND new_code <> old_code GROUP BY ALL)
+SELECT pack_id, CAST(row_number() OVER (PARTITION BY pack_id ORDER BY i) - 1 AS INTEGER) AS pos, old_code, new_code FROM told""",
+    "observed_dynamics": """WITH s AS (SELECT c, [CASE WHEN k = c THEN 1.0 ELSE 0.1 * k END for k in [0, 1, 2, 3]] AS p, 0.2 * (c + 1) AS kappa FROM (SELECT unnest(range(4)) AS c)),
+b AS (SELECT code % 5 AS src, lead(code % 5) OVER (PARTITION BY stream_id ORDER BY pos, arrived_at, code) AS dst FROM stream_codes WHERE code IS NOT NULL),
+n AS (SELECT src, dst, CAST(count(*) AS DOUBLE) AS n FROM b WHERE src < 4 AND dst < 4 GROUP BY ALL),
+m AS (SELECT x.c AS src, y.c AS dst, coalesce(CASE WHEN sum(n) OVER w > 0 THEN coalesce(n, 0) / sum(n) OVER w END, 0.25) AS p FROM s x CROSS JOIN s y LEFT JOIN n ON n.src = x.c AND n.dst = y.c WINDOW w AS (PARTITION BY x.c)
+  UNION ALL SELECT 99, c, 0.25 FROM s),
+t AS (SELECT src, dst, m.p * exp(-1.5 * (0.40 * (1 - list_cosine_similarity([1.0, 0.0, 0.0, 0.5], CAST(s.p AS DOUBLE[]))) + 0.20 * (1 - kappa) + 0.10 * 0.25)) AS w FROM m JOIN s ON s.c = dst)
+SELECT CAST(src AS INTEGER) AS src, CAST(dst AS INTEGER) AS class_id, round(w / sum(w) OVER (PARTITION BY src), 6) AS p FROM t""",
 }

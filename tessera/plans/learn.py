@@ -12,12 +12,15 @@ from pyspark.sql import functions as F
 
 from tessera import schemas
 from tessera.functions.text import ensure_embedding
-from tessera.functions.vectors import cosine_similarity, mdl_bits
+from tessera.functions.vectors import mdl_bits
 from tessera.operators import clustering, evolution, gloss
 from tessera.pack import SymbolPack
 from tessera.records import GuardSnapshot, Receipt
 from tessera.session import ship, written
 
+#: Observation ids that one symbol may hold.
+MAX_IDS = 20_000_000
+
 
 @dataclass(frozen=True)
 class LearnConfig:
@@ -31,12 +34,26 @@ class LearnConfig:
     match_threshold: float = evolution.MATCH
 
 
-def class_table(rows: DataFrame, labels: DataFrame, prototypes: DataFrame) -> DataFrame:
-    """(class_id, size, kappa, observation_ids) of every class with members; kappa is the mean cosine to the prototype."""
-    joined = rows.join(labels, "ord").join(F.broadcast(prototypes), "class_id")  # one row for each class
-    cos = cosine_similarity("embedding", "proto_embedding")
+def class_table(assigned: DataFrame) -> DataFrame:
+    """(class_id, size, kappa, observation_ids) of every class with members, from (class_id, ord, observation_id, cosine); kappa is the mean cosine to the prototype.
+
+    A symbol holds its ids in one array, by the data model. A class of more than ``MAX_IDS`` is refused before anything is collected;
+    ``class_members`` has the same as rows, whatever the size.
+    """
+    figures = assigned.groupBy("class_id").agg(F.count("*").alias("size"), F.avg("cosine").alias("kappa"))
+    fits = F.when(F.col("size") <= MAX_IDS, F.col("size")).otherwise(F.raise_error(F.format_string("class %d has %d observation ids; take class_members", "class_id", "size")).cast("bigint"))
+    figures = written(figures.select("class_id", fits.cast("int").alias("size"), "kappa"), "class-figures")
     ids = F.transform(F.sort_array(F.collect_list(F.struct("ord", "observation_id"))), lambda x: x["observation_id"])
-    return joined.groupBy("class_id").agg(F.count("*").cast("int").alias("size"), F.avg(cos).alias("kappa"), ids.alias("observation_ids"))
+    return figures.join(assigned.groupBy("class_id").agg(ids.alias("observation_ids")), "class_id")
+
+
+def class_members(assigned: DataFrame) -> DataFrame:
+    """(class_id, ord, observation_id): the members of every class as rows."""
+    return assigned.select("class_id", "ord", "observation_id")
+
+
+def operational_residual(cluster: float, svd: float) -> float:
+    return max(cluster, 0.25 * svd)
 
 
 def quarantined(size, kappa, config: LearnConfig):
@@ -66,22 +83,20 @@ def learn_pack(observations: DataFrame, *, config: LearnConfig | None = None, pr
     ship(spark)
     rows = observations.select("ord", "observation_id", F.coalesce(F.col("embedding").cast("array<double>"), F.array().cast("array<double>")).alias("embedding"), "text")
     rows = rows.withColumn("embedding", ensure_embedding(F.col("embedding"), F.col("text"), F.col("observation_id")))
-    rows = written(clustering.stack_embeddings(rows), "observations")
-    n, d = rows.agg(F.count("*"), F.max(F.size("embedding"))).first()
+    x = clustering.matrix(clustering.stack_embeddings(rows), ("observation_id", "text"))
+    n, d = x.agg(F.count("*"), (F.max(F.octet_length("x")) / 8).cast("int")).first()
     if not n:
         raise ValueError("learn_pack requires at least one observation")
-    x = clustering.matrix(rows)
     rank = cfg.svd_rank or min(max(cfg.n_symbols, 1), n, d)
     svd = clustering.svd_residual(x, rank, n)
-    labels, centroids, _ = clustering.kmeans(x, max(1, min(cfg.n_symbols, n)), n)
-    labels = written(labels, "labels")
+    assigned, centroids, _ = clustering.kmeans(x, max(1, min(cfg.n_symbols, n)), n)
+    assigned = written(assigned.drop("distance2"), "assigned")
     k = len(centroids)
-    cluster_residual = clustering.reconstruction_error(x, labels, centroids)
-    residual = max(cluster_residual, 0.25 * svd)
+    residual = operational_residual(clustering.reconstruction_error(assigned), svd)
 
     protos = spark.createDataFrame([(c, centroids[c].tolist()) for c in range(k)], "class_id int, proto_embedding array<double>")
-    members = written(class_table(rows, labels, protos), "classes")
-    glosses = gloss.learn_definition(rows.join(labels, "ord"), llm_client=llm_client).drop("observation_count", "keywords")
+    members = written(class_table(assigned), "classes")
+    glosses = gloss.learn_definition(assigned, llm_client=llm_client).drop("observation_count", "keywords")
     old = previous.symbols if previous is not None else None
     lasting = None
     if old is not None and not old.isEmpty():

@@ -149,13 +149,34 @@ def test_kmeans_like_numpy(spark):
         if np.allclose(nxt, c):
             break
         c = nxt
-    labels, centroids, _ = clustering.kmeans(frame, k, len(x))
-    assert np.allclose(centroids, c) and [r["class_id"] for r in labels.orderBy("ord").collect()] == label.tolist()
-    assert clustering.reconstruction_error(frame, labels, centroids) == pytest.approx(np.linalg.norm(x - c[label]) / np.linalg.norm(x))
+    assigned, centroids, _ = clustering.kmeans(frame, k, len(x))
+    rows = assigned.orderBy("ord").collect()
+    assert np.allclose(centroids, c) and [r["class_id"] for r in rows] == label.tolist()
+    assert np.allclose([r["distance2"] for r in rows], ((x - c[label]) ** 2).sum(axis=1))
+    assert np.allclose([r["cosine"] for r in rows], (x * c[label]).sum(axis=1) / np.linalg.norm(x, axis=1) / np.linalg.norm(c[label], axis=1))
+    assert clustering.reconstruction_error(assigned) == pytest.approx(np.linalg.norm(x - c[label]) / np.linalg.norm(x))
     s = np.linalg.svd(x, compute_uv=False)
     assert clustering.svd_residual(frame, 2, len(x)) == pytest.approx(math.sqrt((s[2:] ** 2).sum() / (s**2).sum()))
 
 
+def test_nearest_decides_ties_by_differences():
+    c = np.array([[1e6, 0.0], [1e6, 1e-6], [0.0, 0.0], [0.0, 0.0]])
+    x = np.array([[1e6, 4e-7], [1e6, 6e-7], [1e6, 5e-7], [0.0, 0.0]])
+    label, far = clustering.nearest(x, c)
+    assert label.tolist() == [0, 1, 0, 2] and far[3] == 0
+
+
+def test_too_many_ids_are_refused(spark, monkeypatch):
+    from tessera.plans import learn
+
+    monkeypatch.setattr(learn, "MAX_IDS", 2)
+    rows = spark.createDataFrame([(0, i, f"o{i}", 1.0) for i in range(3)] + [(1, 9, "p", 0.5)], "class_id int, ord bigint, observation_id string, cosine double")
+    assert learn.class_members(rows).count() == 4
+    assert [tuple(r) for r in learn.class_table(rows.where("ord > 1")).orderBy("class_id").collect()] == [(0, 1, 1.0, ["o2"]), (1, 1, 0.5, ["p"])]
+    with pytest.raises(Exception, match="class 0 has 3 observation ids"):
+        learn.class_table(rows)
+
+
 def test_llm_client(spark, toy):
     class Plain:
         def generate(self, prompt):
