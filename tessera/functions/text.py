@@ -52,22 +52,39 @@ def _gram(gram: str, dim: int) -> tuple[int, float]:
     return int.from_bytes(digest[:4], "little") % dim, 1.0 - 2.0 * (digest[4] & 1)
 
 
-def ngram_vector(text: str, dim: int, n: int, known: dict) -> np.ndarray:
-    framed = ("^" + text.lower() + "$").ljust(n, "_")
-    cells, signs = [], []
-    for gram in map("".join, zip(*(framed[i:] for i in range(n)))):
+def ngram_vectors(texts: list[str], dim: int, n: int, known: dict) -> np.ndarray:
+    """One row for each text. The grams of all texts are cut from one array of code points; each distinct one is looked up once."""
+    framed = [("^" + t.lower() + "$").ljust(n, "_") for t in texts]
+    sizes = np.fromiter(map(len, framed), dtype=np.int64, count=len(framed))
+    points = np.frombuffer("".join(framed).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    grams = np.lib.stride_tricks.sliding_window_view(points, n)
+    keep = np.ones(len(grams), dtype=bool)  # not those across two texts
+    ends = np.cumsum(sizes)[:-1]
+    for k in range(1, n):
+        keep[ends - k] = False
+    owner = np.repeat(np.arange(len(framed)), sizes)[: len(grams)][keep]
+    grams = grams[keep]
+    if n <= 3:  # a code point has 21 bits
+        keys = grams.astype(np.int64) @ (1 << 21 * np.arange(n, dtype=np.int64))
+    else:
+        keys = np.ascontiguousarray(grams).view(np.dtype((np.void, 4 * n))).ravel()
+    _, first, place = np.unique(keys, return_index=True, return_inverse=True)
+    cells, signs = np.empty(len(first), dtype=np.int64), np.empty(len(first))
+    for i, at in enumerate(first.tolist()):
+        gram = "".join(map(chr, grams[at].tolist()))
         hit = known.get(gram)
         if hit is None:
             hit = known[gram] = _gram(gram, dim)
-        cells.append(hit[0])
-        signs.append(hit[1])
-    out = np.bincount(cells, weights=signs, minlength=dim)
-    length = np.sqrt((out * out).sum())
-    return out / length if length > 0 else out
+        cells[i], signs[i] = hit
+    out = np.bincount(owner * dim + cells[place.ravel()], weights=signs[place.ravel()], minlength=len(framed) * dim).reshape(-1, dim)
+    length = np.sqrt((out * out).sum(axis=1))
+    return out / np.where(length > 0, length, 1.0)[:, None]
 
 
 _KNOWN: dict[tuple[int, int], dict] = {}
 _MOST_GRAMS = 1_000_000
+#: Characters whose grams are worked on together.
+_CHARS = 1_000_000
 
 
 def hashed_ngrams(text: Column | str, dim: int = 32, n: int = 3) -> Column:
@@ -80,9 +97,18 @@ def hashed_ngrams(text: Column | str, dim: int = 32, n: int = 3) -> Column:
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         known = _KNOWN.setdefault((dim, n), {})
         for batch in batches:
-            if len(known) > _MOST_GRAMS:
-                known.clear()
-            yield batch.map(lambda t: None if t is None else ngram_vector(t, dim, n, known))
+            out, held, chars = [None] * len(batch), [], 0
+            for at, t in enumerate(batch):
+                if t is not None:
+                    held.append((at, t))
+                    chars += len(t)
+                if held and (chars > _CHARS or at == len(batch) - 1):
+                    if len(known) > _MOST_GRAMS:
+                        known.clear()
+                    for (k, _), row in zip(held, ngram_vectors([t for _, t in held], dim, n, known)):
+                        out[k] = row
+                    held, chars = [], 0
+            yield pd.Series(out, dtype=object)
 
     return run(text)
 

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import shutil
+import tempfile
+from pathlib import Path
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -12,9 +16,10 @@ from tessera.operators import aliases as al
 from tessera.operators import certify as cert
 from tessera.operators import clustering, dynamics, evolution, gloss
 from tessera.operators.translate import first_by, live_symbols, symbols_by_code, translate
-from tessera.pack import SymbolPack
+from tessera.pack import SymbolPack, load_pack, save_pack
 from tessera.plans import learn
-from tessera.session import ship, table, written
+from tessera.session import scratch_path, ship, table, written
+from tessera.sources.jsonl import load_observations_jsonl, load_stream
 from tessera.streaming import translate as streaming
 
 # ---- tables
@@ -177,6 +182,62 @@ def ngram_embeddings(spark, sf_dir):
     return docs.select("doc_id", F.posexplode(txt.hashed_ngrams("text")).alias("cell", "v")).select("doc_id", "cell", _r("v").alias("v"))
 
 
+def fallback_embeddings(spark, sf_dir):
+    """Vectors of the observations that have a text and no embedding, as the learner takes them, beside the widths of the others."""
+    ship(spark)
+    rows = table(spark, sf_dir, "observations").where("text <> '' or size(embedding) > 0")
+    given = F.coalesce("embedding", F.array().cast("array<double>"))
+    rows = rows.select("ord", (F.size(given) == 0).alias("from_text"), txt.ensure_embedding(given, F.col("text"), F.col("observation_id")).alias("v"))
+    cells = rows.where("from_text").select("ord", F.posexplode("v").alias("cell", "x")).select("ord", "cell", _r("x").alias("x"))
+    return cells.unionByName(rows.where("not from_text").select("ord", F.lit(-1).alias("cell"), F.size("v").cast("double").alias("x")))
+
+
+# ---- sources and sinks
+
+
+def observations_from_jsonl(spark, sf_dir):
+    """The observations written as JSONL, with comments and blank lines, and read again."""
+    ship(spark)
+    fine = F.expr("filter(embedding, x -> x is not null and not isnan(x) and abs(x) < double('infinity'))")
+    rows = table(spark, sf_dir, "observations").select(F.coalesce("observation_id", F.concat(F.lit("ord-"), "ord")).alias("observation_id"), fine.alias("embedding"), "text", F.struct("ord").alias("metadata"))
+    folder = scratch_path(spark, "jsonl")
+    rows.select(F.explode(F.array(F.lit("# observation"), F.lit(" "), F.to_json(F.struct(*rows.columns)))).alias("value")).write.text(folder)
+    back = load_observations_jsonl(spark, folder)
+    number = F.get_json_object("metadata", "$.ord").cast("bigint").alias("ord")
+    return back.select(number, "observation_id", F.size("embedding").alias("width"), _r(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x), 4).alias("total"), F.sha2("text", 256).alias("digest"))
+
+
+def stream_from_json(spark, sf_dir):
+    """The codes that occur in the streams, written as one JSON document and read as a stream."""
+    ship(spark)
+    codes = table(spark, sf_dir, "stream_codes").where("code is not null").select("code")
+    folder = scratch_path(spark, "stream")
+    kept = codes.groupBy("code").count().groupBy().agg(F.to_json(F.struct(F.sort_array(F.collect_list("code")).alias("codes"))).alias("value"))  # one number for each code
+    kept.coalesce(1).write.text(folder)
+    return load_stream(spark, folder)
+
+
+def pack_round_trip(spark, sf_dir):
+    """The labels of the embeddings as a pack, saved, loaded and sealed again."""
+    ship(spark)
+    rows, protos = _prototypes(spark, sf_dir)
+    none = F.array().cast("array<string>")
+    symbols = protos.select(
+        F.lit("labels").alias("pack_id"), F.col("class_id").alias("pos"), "class_id", F.col("class_id").alias("code"), "proto_embedding", F.array(F.concat(F.lit("é-"), "class_id")).alias("observation_ids"),
+        F.concat(F.lit(" class "), "class_id").alias("definition"), none.alias("examples"), F.lit(0.5).alias("confidence"), (F.col("class_id") % 2 == 1).alias("quarantined"), F.lit(1.0).alias("survival"),
+        F.struct(F.lit(0.5).alias("kappa"), F.col("size").cast("int").alias("size")).alias("metadata"),
+    )
+    pack = SymbolPack("labels", written(symbols, "symbols"), symbols.select("pack_id", "pos", "code", "class_id"), spark.createDataFrame([("labels", 0, 99, 1)], schemas.ALIAS), reconstruction_error=0.25).seal()
+    path = Path(tempfile.mkdtemp(prefix="tessera-pack-")) / "pack.json"  # the interchange form is a file of the driver
+    try:
+        save_pack(pack, path)
+        back = load_pack(spark, path)
+    finally:
+        shutil.rmtree(path.parent)
+    out = back.symbols.select("class_id", "code", F.element_at("observation_ids", 1).alias("id"), "definition", "quarantined", F.col("metadata.size").alias("size"), _r(F.aggregate("proto_embedding", F.lit(0.0), lambda a, x: a + x), 5).alias("total"))
+    return out.withColumn("sealed", F.lit(back.checksum == pack.checksum == back.compute_checksum()))
+
+
 # ---- geometry
 
 
@@ -377,7 +438,7 @@ def learn_generations(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     translate_packs, translate_codes, translate_streaming, rewrite_codes, alias_closure, alias_follow, alias_follow_default, alias_cycles, dangling_aliases, code_lookup, class_lookup, live,
-    pack_checksums, certify_packs, token_counts, keywords_by_language, examples_by_language, definitions_by_language, ngram_embeddings, symbol_energy, capped_confidence,
+    pack_checksums, certify_packs, token_counts, keywords_by_language, examples_by_language, definitions_by_language, ngram_embeddings, fallback_embeddings, observations_from_jsonl, stream_from_json, pack_round_trip, symbol_energy, capped_confidence,
     prototypes, class_quality, nearest_prototype, alphabet_figures, farthest_first, kmeans_labels, svd_residual, prototype_survival, alias_matching, event_transitions,
     tilted_transitions, observed_dynamics, learn_embeddings, learn_observations, learn_guards, learn_generations,
 )}
@@ -528,6 +589,14 @@ _GREEDY = """greedy AS (
   SELECT grp, i, old_code, pick.code, CASE WHEN pick IS NULL THEN taken ELSE list_append(taken, pick.class) END FROM (
     SELECT w.grp, n.i, n.old_code, w.taken, list_filter(n.c, lambda x: NOT list_contains(w.taken, x.class))[1] AS pick FROM greedy w JOIN cand n ON n.grp = w.grp AND n.i = w.i + 1))"""
 
+_NGRAMS = """d AS (SELECT {id}, '^' || lower(text) || '$' AS b FROM {source}),
+g AS (SELECT {id}, substr(b, i, 3) AS g FROM (SELECT {id}, b, unnest(range(1, length(b) - 1)) AS i FROM d)),
+k AS (SELECT g, CAST('0x' || substr(sha256(g), 1, 2) AS INTEGER) % 32 AS cell, CASE WHEN CAST('0x' || substr(sha256(g), 9, 2) AS INTEGER) % 2 = 0 THEN 1 ELSE -1 END AS s FROM (SELECT DISTINCT g FROM g)),
+v AS (SELECT {id}, cell, sum(s) AS v FROM g JOIN k USING (g) GROUP BY ALL),
+l AS (SELECT {id}, sqrt(sum(v * v)) AS l FROM v GROUP BY {id}),
+c AS (SELECT {id}, CAST(unnest(range(32)) AS INTEGER) AS cell FROM d),
+grams AS (SELECT c.{id}, c.cell, round(coalesce(v.v, 0) / CASE WHEN l.l > 0 THEN l.l ELSE 1 END, 6) AS v FROM c LEFT JOIN v ON v.{id} = c.{id} AND v.cell = c.cell LEFT JOIN l ON l.{id} = c.{id})"""
+
 SQL = {
     "translate_packs": f"""WITH RECURSIVE {_PACKS},
 codes AS (SELECT pack_id, code FROM cb UNION SELECT pack_id, old_code FROM al UNION SELECT pack_id, code FROM sym UNION SELECT pack_id, 999999 FROM pk)
@@ -614,13 +683,15 @@ FROM k x CROSS JOIN k y LEFT JOIN n ON n.src = x.c AND n.dst = y.c WINDOW w AS (
 s AS (SELECT fc.pack_id, class_id, greatest(coalesce(confidence, 0.0), 0.0) AS kappa, proto_embedding AS p, coalesce(pk.x.r, 0.0) AS r FROM fc JOIN pk ON pk.pack_id = fc.pack_id),
 w AS (SELECT pack_id, class_id, exp(-2.0 * (0.40 * CASE WHEN sqrt(list_inner_product(p, p)) < 1e-12 THEN 1.0 ELSE 0.0 END + 0.20 * (1 - kappa) + 0.10 * r)) AS w FROM s)
 SELECT a.pack_id, a.class_id AS src, b.class_id, round(b.w / sum(b.w) OVER (PARTITION BY a.pack_id, a.class_id), 6) AS p FROM w a JOIN w b ON b.pack_id = a.pack_id""",
-    "ngram_embeddings": """WITH d AS (SELECT doc_id, '^' || lower(text) || '$' AS b FROM documents WHERE text <> ''),
-g AS (SELECT doc_id, substr(b, i, 3) AS g FROM (SELECT doc_id, b, unnest(range(1, length(b) - 1)) AS i FROM d)),
-k AS (SELECT g, CAST('0x' || substr(sha256(g), 1, 2) AS INTEGER) % 32 AS cell, CASE WHEN CAST('0x' || substr(sha256(g), 9, 2) AS INTEGER) % 2 = 0 THEN 1 ELSE -1 END AS s FROM (SELECT DISTINCT g FROM g)),
-v AS (SELECT doc_id, cell, sum(s) AS v FROM g JOIN k USING (g) GROUP BY ALL),
-l AS (SELECT doc_id, sqrt(sum(v * v)) AS l FROM v GROUP BY doc_id),
-c AS (SELECT doc_id, CAST(unnest(range(32)) AS INTEGER) AS cell FROM d)
-SELECT c.doc_id, c.cell, round(coalesce(v.v, 0) / CASE WHEN l.l > 0 THEN l.l ELSE 1 END, 6) AS v FROM c LEFT JOIN v ON v.doc_id = c.doc_id AND v.cell = c.cell LEFT JOIN l ON l.doc_id = c.doc_id""",
+    "ngram_embeddings": f"""WITH {_NGRAMS.format(id="doc_id", source="documents WHERE text <> ''")} SELECT * FROM grams""",
+    "fallback_embeddings": f"""WITH {_NGRAMS.format(id="ord", source="observations WHERE coalesce(len(embedding), 0) = 0 AND text <> ''")}
+SELECT ord, cell, v AS x FROM grams UNION ALL SELECT ord, -1, CAST(len(embedding) AS DOUBLE) FROM observations WHERE len(embedding) > 0""",
+    "observations_from_jsonl": """SELECT ord, coalesce(observation_id, 'ord-' || ord) AS observation_id, CAST(coalesce(len(v), 0) AS INTEGER) AS width, round(coalesce(list_sum(v), 0.0), 4) AS total, sha256(text) AS digest
+FROM (SELECT *, list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x)) AS v FROM observations)""",
+    "stream_from_json": """SELECT row_number() OVER (ORDER BY code) - 1 AS pos, code FROM (SELECT DISTINCT code FROM stream_codes WHERE code IS NOT NULL)""",
+    "pack_round_trip": f"""WITH {_EMB}
+SELECT class_id, class_id AS code, 'é-' || class_id AS id, ' class ' || class_id AS definition, class_id % 2 = 1 AS quarantined, CAST(n AS INTEGER) AS size, round(list_sum(p), 5) AS total, true AS sealed
+FROM proto JOIN (SELECT class_id, count(*) AS n FROM e GROUP BY class_id) USING (class_id)""",
     "kmeans_labels": f"""WITH RECURSIVE {_kmeans(_VECTORS, 8)}
 SELECT ord AS vec_id, class_id FROM labels""",
     "learn_embeddings": f"""WITH RECURSIVE {_learn(_VECTORS, 8)} {_SYMBOLS}""",

@@ -210,6 +210,28 @@ def test_cli(spark, toy, tmp_path, capsys):
     assert main(["audit", str(pack)], spark) == 0
 
 
+def test_jsonl_in_splits(spark, tmp_path):
+    """Line numbers over many splits of many files: ord is unique, default names count in the file."""
+    want, ord_ = [], 0
+    for f in range(3):
+        lines = []
+        for k in range(1, 400 + f):
+            ord_ += 1
+            blank = k % 7 == 0
+            lines.append("# skipped" if blank else json.dumps({"text": "t" * (k % 50)} | ({"observation_id": f"f{f}-{k}"} if k % 3 else {})))
+            if not blank:
+                want.append((ord_, f"f{f}-{k}" if k % 3 else f"obs-{k}"))
+        (tmp_path / f"{f}.jsonl").write_text("\n".join(lines) + "\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+    try:
+        got = t.load_observations_jsonl(spark, str(tmp_path))
+        assert got.rdd.getNumPartitions() > 5
+        assert sorted((r["ord"], r["observation_id"]) for r in got.collect()) == want
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 def test_sources(spark, tmp_path):
     bad = tmp_path / "bad.jsonl"
     bad.write_text('{"observation_id": 1}\n{broken\n')
@@ -224,7 +246,13 @@ def test_sources(spark, tmp_path):
     got = t.load_observations_jsonl(spark, str(named)).orderBy("ord").collect()
     assert [(r["observation_id"], r["embedding"], r["metadata"]) for r in got] == [("obs-2", [], "{}"), ("None", [], "{}")]
     wrong = tmp_path / "wrong.json"
-    wrong.write_text('{"other": []}')
-    with pytest.raises(ValueError):
-        t.load_stream(spark, str(wrong))
+    for text in ('{"other": []}', "7", '{"codes": 3}', "[1,"):
+        wrong.write_text(text)
+        with pytest.raises(ValueError):
+            t.load_stream(spark, str(wrong))
+    wrong.write_text('[3, 3.7, -3.7, true, "12", null]')
+    with pytest.raises(Exception, match="a code is null"):
+        t.load_stream(spark, str(wrong)).collect()
+    wrong.write_text('{"codes": [3, 3.7, -3.7, true, "12"], "x": [1]}')
+    assert [tuple(r) for r in t.load_stream(spark, str(wrong)).orderBy("pos").collect()] == [(0, 3), (1, 3), (2, -3), (3, 1), (4, 12)]
     assert t.iter_jsonl(spark, str(named)).count() == 2
