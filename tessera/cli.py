@@ -6,7 +6,7 @@ import argparse
 import json
 
 from tessera.api import LearnConfig, certify, learn_pack, load_observations_jsonl, load_pack, load_stream, save_pack, translate_stream
-from tessera.session import get_session
+from tessera.session import get_session, scratch
 
 
 def parser() -> argparse.ArgumentParser:
@@ -31,23 +31,38 @@ def parser() -> argparse.ArgumentParser:
     return top
 
 
+def _show(value, **style) -> None:
+    print(json.dumps(value, indent=2, **style))
+
+
+def _learn(spark, args) -> int:
+    knobs = {name: getattr(args, name) for name in ("n_symbols", "min_cluster_size", "tau_residual", "seed")}
+    previous = load_pack(spark, args.parent) if args.parent else None
+    pack = learn_pack(load_observations_jsonl(spark, args.observations), config=LearnConfig(**knobs), previous=previous)
+    save_pack(pack, args.output)
+    _show({"pack_id": pack.pack_id, "checksum": pack.checksum, "n_symbols": pack.symbols.count()})
+    return 0
+
+
+def _translate(spark, args) -> int:
+    _show([gloss.to_dict() for gloss in translate_stream(load_pack(spark, args.pack), load_stream(spark, args.stream))])
+    return 0
+
+
+def _certify(spark, args) -> int:
+    found = certify(load_pack(spark, args.pack), require_gloss=not args.allow_unglossed, tau_residual=args.tau_residual)
+    _show(found.to_dict(), sort_keys=True)
+    return int(getattr(args, "fail_on_undecodable", False) and not found.passed)
+
+
+COMMANDS = {"learn": _learn, "translate": _translate, "audit": _certify, "certify": _certify}
+
+
 def main(argv: list[str] | None = None, spark=None) -> int:
     args = parser().parse_args(argv)
     spark = spark or get_session()
-    if args.command == "learn":
-        config = LearnConfig(n_symbols=args.n_symbols, min_cluster_size=args.min_cluster_size, tau_residual=args.tau_residual, seed=args.seed)
-        parent = load_pack(spark, args.parent) if args.parent else None
-        pack = learn_pack(load_observations_jsonl(spark, args.observations), config=config, previous=parent)
-        save_pack(pack, args.output)
-        print(json.dumps({"pack_id": pack.pack_id, "checksum": pack.checksum, "n_symbols": pack.symbols.count()}, indent=2))
-        return 0
-    pack = load_pack(spark, args.pack)
-    if args.command == "translate":
-        print(json.dumps([g.to_dict() for g in translate_stream(pack, load_stream(spark, args.stream))], indent=2))
-        return 0
-    cert = certify(pack, require_gloss=not args.allow_unglossed, tau_residual=args.tau_residual)
-    print(json.dumps(cert.to_dict(), indent=2, sort_keys=True))
-    return int(args.command == "certify" and args.fail_on_undecodable and not cert.passed)
+    with scratch(spark):
+        return COMMANDS[args.command](spark, args)
 
 
 if __name__ == "__main__":

@@ -8,12 +8,17 @@ import shutil
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 
 PACKAGE = Path(__file__).resolve().parent
 _SHIPPED: dict[str, str] = {}
+_SENT: dict[str, set[str]] = {}
+_SCOPES: list[list[str]] = []
 
 
 def get_session(master: str = "local[*]", **conf: str) -> SparkSession:
@@ -49,6 +54,20 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED[app] = target
 
 
+def send_file(spark: SparkSession, path: str) -> None:
+    """Let Spark carry a file of the driver to the executors, once per application; ``received`` finds it there."""
+    app = spark.sparkContext.applicationId
+    if os.path.isfile(path) and path not in _SENT.setdefault(app, set()):
+        spark.sparkContext.addFile(path)
+        _SENT[app].add(path)
+
+
+def received(path: str) -> str:
+    """Where a task finds a file that was sent: Spark's copy, or else the path itself."""
+    copy = SparkFiles.get(os.path.basename(path))
+    return copy if os.path.isfile(copy) else path
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir, or one of our own where that is unset."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
@@ -70,22 +89,39 @@ def written(df: DataFrame, name: str = "step") -> DataFrame:
     """The rows of df as a written table in the shared folder: cuts lineage and survives lost executors."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
+    for made in _SCOPES:
+        made.append(path)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._tessera_path = path
     return out
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that written() makes inside are deleted on the way out: results must have been read or saved by then."""
+    made: list[str] = []
+    _SCOPES.append(made)
+    try:
+        yield
+    finally:
+        _SCOPES.remove(made)
+        for path in made:
+            _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def clear_scratch(spark: SparkSession) -> None:
     """Delete all tables that written() left in the shared folder; no result that reads them may be used afterwards."""
-    target = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark).rstrip('/')}/tessera")
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    _delete(spark, f"{shared_dir(spark).rstrip('/')}/tessera")
 
 
 def forget(df: DataFrame | None) -> None:
     """Delete a table made by written() that nothing reads any more."""
     path = getattr(df, "_tessera_path", None)
     if path:
-        jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(conf).delete(target, True)
+        _delete(df.sparkSession, path)

@@ -68,3 +68,15 @@ def test_ngrams(spark):
 def test_canonical():
     assert canonical.canonical_json({"b": [1e-5, None, "é"], "a": {"10": 1, "2": 2}}) == '{"a":{"10":1,"2":2},"b":[1e-05,null,"\\u00e9"]}'
     assert len(canonical.digest16({})) == 16
+
+
+def test_scratch_deletes_what_was_written_inside(spark):
+    import os
+
+    from tessera.session import scratch, written
+
+    kept = written(spark.range(3), "kept")
+    with scratch(spark):
+        inner = written(spark.range(4), "inner")
+        assert inner.count() == 4 and os.path.isdir(inner._tessera_path)
+    assert not os.path.exists(inner._tessera_path) and kept.count() == 3

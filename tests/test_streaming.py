@@ -14,7 +14,7 @@ def test_stream(spark, tmp_path):
     pack = pack_of(spark, aliases={7: 1})
     out = streaming.translate_stream(codes, pack.header, pack.symbols, pack.codebook, pack.aliases)
     got = sorted((r["pos"], r["state"], r["english"]) for r in streaming.run_available(out, "glosses").collect())
-    assert got == [(0, "ok", "Symbol for hello."), (0, "ok", "Symbol for hello."), (1, "aliased", "Symbol for audit."), (2, "unknown", "[undecodable: no symbol for code 99]")]
+    assert got == [(0, "ok", "Symbol for north."), (0, "ok", "Symbol for north."), (1, "aliased", "Symbol for south."), (2, "unknown", "[undecodable: no symbol for code 99]")]
     assert streaming.run_available(streaming.deduplicated(codes), "once").count() == 3
     counted = streaming.run_available(streaming.counts_by_window(codes, late="1 minute"), "counts").collect()
     assert {(r["begin"].hour, r["code"], r["n"]) for r in counted} >= {(0, 0, 2), (0, 7, 1)}
