@@ -3,6 +3,7 @@
 from tessera.operators.certify import checksum_of
 from tessera.pack import SymbolPack
 from tessera.records import PackRecord, Symbol
+from tessera.session import written
 
 
 def two_symbols():
@@ -27,4 +28,4 @@ def all_tables(packs):
     out = tables[0]
     for more in tables[1:]:
         out = [a.unionByName(b) for a, b in zip(out, more)]
-    return out
+    return [written(t, "packs") for t in out]
