@@ -29,6 +29,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from tessera.session import received, send_file
+
 #: The split pattern that belongs to this public vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 MAX_PIECES = 400_000
@@ -208,9 +210,10 @@ def encoder(path: str) -> Encoder:
 def token_ids(texts: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
     """(id, ids array<int>) of every row, without special tokens."""
     path = path or vocabulary_path()
+    send_file(texts.sparkSession, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path)
+        enc = encoder(received(path))
         for batch in batches:
             for part in (batch.slice(k, 1000) for k in range(0, batch.num_rows, 1000)):
                 ids, offsets = enc.encode(part.column(1).to_pylist())
@@ -223,9 +226,10 @@ def token_ids(texts: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def token_counts(texts: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
     """(id, n_tokens) of every row: as token_ids, but only lengths leave the worker."""
     path = path or vocabulary_path()
+    send_file(texts.sparkSession, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path)
+        enc = encoder(received(path))
         for batch in batches:
             for part in (batch.slice(k, 1000) for k in range(0, batch.num_rows, 1000)):
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(enc.lengths(part.column(1).to_pylist()))], names=[id_col, "n_tokens"])
