@@ -6,7 +6,7 @@ import itertools
 
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, clusters, knn, mojibake, packing, runs, vectors
+from tessera.llm import bpe, clusters, knn, mojibake, packing, recall, runs, vectors
 from tessera.operators.hierarchy import alias_nodes, paths
 from tessera.session import ship, table, written
 
@@ -26,6 +26,15 @@ def p2_neighbours(spark, sf_dir):
     return knn.neighbours(vectors.raw_vectors(spark, sf_dir)).select(_kind(), "id", F.col("other").alias("neighbour_id"), "rank", F.round(F.col("cos").cast("double"), 4).alias("cosine"))
 
 
+def p2_recall(spark, sf_dir):
+    """Of every vector whose id is divisible by 100, against all: how many true neighbours there are, and whether the lists have nine of ten, and all but one in a thousand from 0.99."""
+    ship(spark)
+    bands = recall.recall(vectors.raw_vectors(spark, sf_dir))
+    close = F.col("band") == recall.BANDS[2]
+    total = bands.groupBy("kind").agg(F.sum("asked").alias("asked"), F.sum("found").alias("found"), F.sum(F.when(close, F.col("asked"))).alias("near"), F.sum(F.when(close, F.col("found"))).alias("near_found"))
+    return total.select(_kind(), "asked", (F.col("found") >= 0.9 * F.col("asked")).alias("enough"), F.coalesce(F.col("near_found") >= 0.999 * F.col("near"), F.lit(True)).alias("enough_close"))
+
+
 def p3_found(spark, sf_dir):
     ship(spark)
     return clusters.clusters(vectors.raw_vectors(spark, sf_dir)).select(_kind(), F.col("id").alias("member_id"), F.col("lead").alias("lead_id"))
@@ -109,6 +118,21 @@ def p7_fill(spark, sf_dir):
     return used.withColumn("least_containers", F.ceil(F.col("tokens") / packing.CAPACITY)).withColumn("unused", 1 - F.col("tokens") / (F.col("containers") * packing.CAPACITY))
 
 
+def p7_whole(spark, sf_dir):
+    """What holds for the whole packing: every document is there with all of its tokens, no container is overfull, no two pieces overlap, none is split but those beyond a container."""
+    ship(spark)
+    counts = written(bpe.token_counts(table(spark, sf_dir, "documents")), "counts")
+    packed = written(packing.pack(counts).withColumn("end", F.col("offset") + F.col("n_tokens")), "packed")
+    docs = packed.groupBy("doc_id").agg(F.sum("n_tokens").alias("total"), F.count("*").alias("pieces"))
+    docs = counts.join(docs, "doc_id", "left").agg(
+        F.count("*").alias("documents"), F.count_if(F.col("n_tokens") == 0).alias("without_tokens"), F.count_if(F.col("total").isNull() | (F.col("total") != F.col("n_tokens"))).alias("lost"),
+        F.count_if((F.col("pieces") > 1) & (F.col("n_tokens") <= packing.CAPACITY)).alias("split"),
+    )
+    boxes = packed.where("container_id is not null").groupBy("container_id").agg(F.sum("n_tokens").alias("used"), F.max("end").alias("end"), F.countDistinct("offset").alias("places"), F.count("*").alias("pieces"), F.countDistinct("step_group").alias("groups"))
+    boxes = boxes.agg(F.count_if(F.col("used") > packing.CAPACITY).alias("overfull"), F.count_if((F.col("end") != F.col("used")) | (F.col("places") != F.col("pieces")) | (F.col("groups") != 1)).alias("overlapping"))
+    return docs.crossJoin(F.broadcast(boxes))  # one row each
+
+
 def p8_found(spark, sf_dir):
     ship(spark)
     return mojibake.Garbled(table(spark, sf_dir, "documents")).found()
@@ -120,7 +144,7 @@ def p8_restored(spark, sf_dir):
     return mojibake.Garbled(table(spark, sf_dir, "documents")).restored()
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_neighbours, p3_found, p3_clusters, p5_found, p5_runs, p5_near_runs, p6_ids, p7_pack, p7_fill, p8_found, p8_restored)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_neighbours, p2_recall, p3_found, p3_clusters, p5_found, p5_runs, p5_near_runs, p6_ids, p7_pack, p7_fill, p7_whole, p8_found, p8_restored)}
 
 _UNITS = """
 rows AS (
@@ -135,6 +159,12 @@ first AS (
 units AS (SELECT rec_kind, id, CAST(v AS DOUBLE[64]) AS v FROM first)
 """
 
+_LED = """
+links AS (SELECT a.rec_kind, a.id AS id, b.id AS other FROM units a JOIN units b ON a.rec_kind = b.rec_kind WHERE array_cosine_similarity(a.v, b.v) >= 0.85 OR a.id = b.id),
+reach AS (SELECT rec_kind, id, other FROM links UNION SELECT r.rec_kind, r.id, l.other FROM reach r JOIN links l ON l.rec_kind = r.rec_kind AND l.id = r.other),
+led AS (SELECT rec_kind, id AS member_id, min(other) AS lead_id, count(*) AS n FROM reach GROUP BY ALL)
+"""
+
 _SERIES = """
 told AS (SELECT old_code, max_by(new_code, (pos, new_code)) AS new_code FROM stream_aliases GROUP BY old_code),
 walk AS (
@@ -155,10 +185,16 @@ SQL = {
 pairs AS (SELECT a.rec_kind, a.id AS id, b.id AS other, array_cosine_similarity(a.v, b.v) AS c FROM units a JOIN units b ON a.rec_kind = b.rec_kind AND a.id <> b.id),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY rec_kind, id ORDER BY c DESC, other) AS k FROM pairs WHERE c >= 0.95)
 SELECT DISTINCT rec_kind, least(id, other) AS id_a, greatest(id, other) AS id_b FROM ranked WHERE k <= 5 AND c >= 0.99""",
-    "p3_found": f"""WITH RECURSIVE {_UNITS},
-links AS (SELECT a.rec_kind, a.id AS id, b.id AS other FROM units a JOIN units b ON a.rec_kind = b.rec_kind WHERE array_cosine_similarity(a.v, b.v) >= 0.85 OR a.id = b.id),
-reach AS (SELECT rec_kind, id, other FROM links UNION SELECT r.rec_kind, r.id, l.other FROM reach r JOIN links l ON l.rec_kind = r.rec_kind AND l.id = r.other),
-led AS (SELECT rec_kind, id AS member_id, min(other) AS lead_id, count(*) AS n FROM reach GROUP BY ALL)
+    "p2_recall": f"""WITH {_UNITS}
+SELECT rec_kind, sum(least(5, n - 1)) AS asked, true AS enough, true AS enough_close FROM (SELECT *, count(*) OVER (PARTITION BY rec_kind) AS n FROM units) WHERE id % 100 = 0 GROUP BY rec_kind""",
+    "p7_whole": """SELECT count(*) AS documents, count(*) FILTER (WHERE coalesce(text, '') = '') AS without_tokens, 0 AS lost, 0 AS split, 0 AS overfull, 0 AS overlapping FROM documents""",
+    "p3_clusters": f"""WITH RECURSIVE {_UNITS}, {_LED},
+norm AS (SELECT u.rec_kind, id, lead_id, n, list_transform(CAST(v AS DOUBLE[]), lambda x: round(x / sqrt(list_inner_product(CAST(v AS DOUBLE[]), CAST(v AS DOUBLE[]))) * 32767)) AS v FROM units u JOIN led l ON l.rec_kind = u.rec_kind AND l.member_id = u.id WHERE n >= 3),
+cells AS (SELECT rec_kind, lead_id, generate_subscripts(v, 1) AS pl, unnest(v) AS x FROM norm),
+mean AS (SELECT rec_kind, lead_id, list(x ORDER BY pl) AS m FROM (SELECT rec_kind, lead_id, pl, sum(x) AS x FROM cells GROUP BY ALL) GROUP BY ALL),
+near AS (SELECT n.*, row_number() OVER (PARTITION BY n.rec_kind, n.lead_id ORDER BY round(list_cosine_similarity(v, m), 4) DESC, id) AS k FROM norm n JOIN mean USING (rec_kind, lead_id))
+SELECT rec_kind, lead_id, any_value(n) AS size, list(id ORDER BY k) FILTER (WHERE k <= 3) AS typical FROM near GROUP BY rec_kind, lead_id""",
+    "p3_found": f"""WITH RECURSIVE {_UNITS}, {_LED}
 SELECT rec_kind, member_id, lead_id FROM led WHERE n >= 3""",
     "p5_found": f"""WITH RECURSIVE {_SERIES}
 SELECT stream_id, min(pos) AS first_pos, max(pos) AS last_pos FROM series GROUP BY stream_id, k HAVING count(*) >= 3""",

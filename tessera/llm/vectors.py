@@ -72,12 +72,6 @@ def true_cells(mask: np.ndarray) -> np.ndarray:
     return cells[mask.ravel()[cells]]
 
 
-def repeats(ids: DataFrame) -> DataFrame:
-    """Of (kind, id, key): the (kind, id) that stand for a record known by a smaller id."""
-    first = ids.where("key is not null").groupBy("kind", "key").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1")
-    return ids.join(first, ["kind", "key"]).where("id > first").select("kind", "id")
-
-
 def records(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Usable vectors of (kind, id, key, v) as written tables: (kind, id, q) of distinct ones, (kind, id, rep) of their copies.
 
@@ -92,8 +86,9 @@ def records(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
             yield pa.RecordBatch.from_arrays([batch.column(0).take(keep), batch.column(1).take(keep), batch.column(2).take(keep), pack(rows)], names=["kind", "id", "key", "q"])
 
     usable = written(vectors.select("kind", "id", "key", "v").mapInArrow(run, "kind int, id bigint, key string, q binary"), "usable")
-    again = written(repeats(usable.select("kind", "id", "key")), "repeats")
-    known = usable.join(again, ["kind", "id"], "left_anti").select("kind", "id", "q")
+    again = written(usable.where("key is not null").groupBy("kind", "key").agg(F.count("*").alias("n")).where("n > 1").select("kind", "key"), "repeats")
+    first = usable.join(again, ["kind", "key"], "left_semi").groupBy("kind", "key").agg(F.min(F.struct("id", "q")).alias("r")).select("kind", "r.id", "r.q")
+    known = usable.join(again, ["kind", "key"], "left_anti").select("kind", "id", "q").unionByName(first)
     marks = known.select("kind", "id", F.unhex(F.md5("q")).alias("mark"))
     alike = marks.groupBy("kind", "mark").agg(F.min("id").alias("rep"), F.count("*").alias("n")).where("n > 1").select("kind", "mark", "rep")
     copies = written(marks.join(written(alike, "alike"), ["kind", "mark"]).where("id > rep").select("kind", "id", "rep"), "copies")

@@ -30,15 +30,20 @@ def bad_rows():
     return [(0, 900, "z", None), (0, 901, "z", []), (0, 902, "z", v[:63]), (0, 903, "z", v[:63] + [None]), (0, 904, "z", v[:63] + [float("nan")]), (0, 905, "z", v[:63] + [float("inf")]), (0, 906, "z", [0.0] * 64)]
 
 
-def test_unit_rows_and_repeats(spark):
+def test_unit_rows(spark):
     import pyarrow as pa
 
     column = pa.array([r[3] for r in bad_rows()] + [[3.0] + [0.0] * 63, [1e-200] * 64, [1e200] * 64], pa.list_(pa.float64()))
     at, rows = vectors.unit_rows(column)
     assert at.tolist() == [7, 8, 9] and np.allclose(np.linalg.norm(rows, axis=1), 1)
     assert vectors.unit_rows(column.slice(7, 2))[0].tolist() == [0, 1] and len(vectors.unit_rows(column.slice(0, 0))[0]) == 0
-    ids = spark.createDataFrame([(0, 5, "a"), (0, 3, "a"), (0, 9, None), (0, 8, None), (1, 3, "a")], "kind int, id bigint, key string")
-    assert [tuple(r) for r in vectors.repeats(ids).collect()] == [(0, 5)]
+
+
+def test_repeated_rows_are_one_record(spark):
+    v = sample(4, 1).tolist()
+    rows = [(0, 5, "a", v[0]), (0, 3, "a", v[1]), (0, 9, None, v[2]), (0, 8, None, v[3]), (1, 3, "3", v[0]), (1, 3, "3", v[0]), (1, 4, "4", v[1])]
+    found, copies = vectors.records(spark.createDataFrame(rows, SCHEMA))
+    assert sorted((r["kind"], r["id"]) for r in found.collect()) == [(0, 3), (0, 8), (0, 9), (1, 3), (1, 4)] and copies.count() == 0
 
 
 @pytest.mark.parametrize("split", [False, True])
@@ -202,3 +207,20 @@ def test_described_and_empty(spark):
         assert np.allclose([cos[i] for i in r["typical"]], sorted(cos.values(), reverse=True)[: len(r["typical"])], atol=2e-4)
     empty = df.where("id < 0")
     assert clusters.clusters(empty).count() == 0 and knn.neighbours(empty).count() == 0 and knn.close_pairs(empty).count() == 0
+
+
+def test_recall_against_numpy(spark):
+    from tessera.llm import recall
+
+    x = np.concatenate([sample(300, 5), sample(300, 5)[:4]])
+    rows, copies = vectors.records(spark.createDataFrame(rows_of(x), SCHEMA))
+    own = rows.unionByName(copies.join(rows.withColumnRenamed("id", "rep"), ["kind", "rep"]).select("kind", "id", "q"))
+    got = {(r["id"], r["rank"]): r["cos"] for r in recall.exact_lists(own, own.where("id % 7 = 0")).collect()}
+    c = unit(x) @ unit(x).T
+    np.fill_diagonal(c, -2)
+    want = {(i + 10, k + 1): v for i in range(len(x)) if (i + 10) % 7 == 0 for k, v in enumerate(-np.sort(-c[i])[:5])}
+    assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-4 for k in want)
+    bands = recall.recall(spark.createDataFrame(rows_of(x), SCHEMA), every=7).collect()
+    assert sum(r["asked"] for r in bands) == len(want) and all(r["found"] <= r["asked"] for r in bands)
+    close = [r for r in bands if r["band"] == 0.99]
+    assert close and all(r["found"] == r["asked"] for r in close)
