@@ -40,7 +40,7 @@ def test_unit_rows(spark):
 
 
 def test_repeated_rows_are_one_record(spark):
-    v = sample(4, 1).tolist()
+    v = sample(8, 1).tolist()
     rows = [(0, 5, "a", v[0]), (0, 3, "a", v[1]), (0, 9, None, v[2]), (0, 8, None, v[3]), (1, 3, "3", v[0]), (1, 3, "3", v[0]), (1, 4, "4", v[1])]
     found, copies = vectors.records(spark.createDataFrame(rows, SCHEMA))
     assert sorted((r["kind"], r["id"]) for r in found.collect()) == [(0, 3), (0, 8), (0, 9), (1, 3), (1, 4)] and copies.count() == 0
