@@ -90,6 +90,12 @@ good AS (SELECT * FROM g WHERE regexp_full_match(id, '[A-Za-z0-9._:-]{{1,64}}')
 
 SQL = {
     "p1_found": f"WITH {_LINES} SELECT raw_id FROM u WHERE raw_id NOT IN (SELECT raw_id FROM good)",
+    "p1_loaded": f"""WITH {_LINES},
+lit AS (
+  SELECT raw_id, CASE WHEN json_type(line, '$.text') <> 'NULL' THEN line ->> '$.text' END AS text, CASE WHEN json_type(line, '$.metadata') <> 'NULL' THEN CAST(line -> '$.metadata' AS VARCHAR) END AS metadata FROM jo WHERE t = 'OBJECT'
+  UNION ALL SELECT cv.raw_id, cv.f[2], nullif(m.x, '') FROM cv
+    JOIN (SELECT raw_id, CASE WHEN starts_with(f.meta, '"') THEN replace(substr(f.meta, 2, length(f.meta) - 2), '""', '"') ELSE f.meta END AS x FROM cf) m ON m.raw_id = cv.raw_id)
+SELECT g.raw_id, g.id AS observation_id, lit.text, CASE WHEN NOT missing THEN CAST(emb AS DOUBLE[]) END AS embedding, lit.metadata FROM good g JOIN lit ON lit.raw_id = g.raw_id""",
     "p4_found": f"""WITH RECURSIVE {_NODES}
 SELECT n.map_id, n.node_id, coalesce(w.at, 'cycle') AS root_id FROM nodes n LEFT JOIN walk w ON w.map_id = n.map_id AND w.node_id = n.node_id""",
     "p4_descendants": f"""WITH RECURSIVE {_NODES}

@@ -143,7 +143,16 @@ def _json_line(line: str, line_no) -> tuple:
 
 
 def _plain(value) -> str:
-    return json.dumps(value, ensure_ascii=False, default=str)
+    """A JSON value as text, without blanks; integers are written as integers."""
+    return json.dumps(_whole(value), ensure_ascii=False, separators=(",", ":"))
+
+
+def _whole(value):
+    if isinstance(value, _Int):
+        return int(value.text) if len(value.text) < 4000 else value.text
+    if isinstance(value, dict):
+        return {k: _whole(v) for k, v in value.items()}
+    return [_whole(v) for v in value] if isinstance(value, list) else value
 
 
 def _csv_fields(fields: list, line: str) -> tuple:

@@ -56,3 +56,9 @@ def test_odd_rows(spark):
     good, bad = split_lines(df)
     assert good.count() == 2 and {r["raw_line"] for r in bad.collect()} == {"x", '{"text":"t"}'}
     assert parse_lines(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_other_values_keep_their_form(spark):
+    line = '{"text": 12, "metadata": {"layer": 7, "big": 123456789012345678901234567890, "x": [1.5, true, null, "é"]}}'
+    got = parse_lines(spark.createDataFrame(rows_of([("jsonl", line)]), SCHEMA)).first()
+    assert got["text"] == "12" and got["metadata"] == '{"layer":7,"big":123456789012345678901234567890,"x":[1.5,true,null,"é"]}'
