@@ -186,8 +186,8 @@ pairs AS (SELECT a.rec_kind, a.id AS id, b.id AS other, array_cosine_similarity(
 ranked AS (SELECT *, row_number() OVER (PARTITION BY rec_kind, id ORDER BY c DESC, other) AS k FROM pairs WHERE c >= 0.95)
 SELECT DISTINCT rec_kind, least(id, other) AS id_a, greatest(id, other) AS id_b FROM ranked WHERE k <= 5 AND c >= 0.99""",
     "p2_recall": f"""WITH {_UNITS}
-SELECT rec_kind, sum(least(5, n - 1)) AS asked, true AS enough, true AS enough_close FROM (SELECT *, count(*) OVER (PARTITION BY rec_kind) AS n FROM units) WHERE id % 100 = 0 GROUP BY rec_kind""",
-    "p7_whole": """SELECT count(*) AS documents, count(*) FILTER (WHERE coalesce(text, '') = '') AS without_tokens, 0 AS lost, 0 AS split, 0 AS overfull, 0 AS overlapping FROM documents""",
+SELECT rec_kind, CAST(sum(least(5, n - 1)) AS BIGINT) AS asked, true AS enough, true AS enough_close FROM (SELECT *, count(*) OVER (PARTITION BY rec_kind) AS n FROM units) WHERE id % 100 = 0 GROUP BY rec_kind""",
+    "p7_whole": """SELECT count(*) AS documents, count(*) FILTER (WHERE coalesce(text, '') = '') AS without_tokens, CAST(0 AS BIGINT) AS lost, CAST(0 AS BIGINT) AS split, CAST(0 AS BIGINT) AS overfull, CAST(0 AS BIGINT) AS overlapping FROM documents""",
     "p3_clusters": f"""WITH RECURSIVE {_UNITS}, {_LED},
 norm AS (SELECT u.rec_kind, id, lead_id, n, list_transform(CAST(v AS DOUBLE[]), lambda x: round(x / sqrt(list_inner_product(CAST(v AS DOUBLE[]), CAST(v AS DOUBLE[]))) * 32767)) AS v FROM units u JOIN led l ON l.rec_kind = u.rec_kind AND l.member_id = u.id WHERE n >= 3),
 cells AS (SELECT rec_kind, lead_id, generate_subscripts(v, 1) AS pl, unnest(v) AS x FROM norm),
