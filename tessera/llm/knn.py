@@ -286,7 +286,8 @@ def _layouts(rows: DataFrame, scale: int = 1, **options) -> dict[int, Layout]:
 
 
 def _best(lists: DataFrame, k: int) -> DataFrame:
-    once = lists.groupBy("kind", "id", "other").agg(F.max("cos").alias("cos"))
+    # one shuffle: a partition of (kind, id) serves both the grouping and the ranks
+    once = lists.repartition("kind", "id").groupBy("kind", "id", "other").agg(F.max("cos").alias("cos"))
     rank = F.row_number().over(Window.partitionBy("kind", "id").orderBy(F.desc("cos"), "other"))
     return once.withColumn("rank", rank).where(F.col("rank") <= k)
 
