@@ -93,6 +93,22 @@ def translate_streaming(spark, sf_dir):
     return streaming.run_available(out.select("stream_id", "pos", "code", "state", "class_id", "resolved_code", _r("confidence").alias("confidence")), "glosses")
 
 
+def _arriving(spark, sf_dir):
+    schema = table(spark, sf_dir, "stream_codes").schema
+    codes = spark.readStream.schema(schema).parquet(f"{sf_dir}/stream_codes.parquet*")
+    return codes.withColumn("arrived_at", F.col("arrived_at").cast("timestamp"))
+
+
+def stream_deduplicated(spark, sf_dir):
+    """The events of the stream without redeliveries, by stream and position."""
+    return streaming.run_available(streaming.deduplicated(_arriving(spark, sf_dir), late="3650 days").select("stream_id", "pos"), "once")
+
+
+def stream_windows(spark, sf_dir):
+    """Codes by hour of arrival, of the hours that are closed by the watermark."""
+    return streaming.run_available(streaming.counts_by_window(_arriving(spark, sf_dir)).select(F.col("begin").cast("timestamp_ntz").alias("begin"), "code", "n"), "windows")
+
+
 def rewrite_codes(spark, sf_dir):
     aliases = al.last_statements(table(spark, sf_dir, "stream_aliases").withColumn("pack_id", F.lit("stream")))
     return al.rewrite_stream(table(spark, sf_dir, "stream_codes").select("stream_id", "pos", "code", "arrived_at"), aliases).select("stream_id", "pos", "code", "arrived_at")
@@ -437,7 +453,7 @@ def learn_generations(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    translate_packs, translate_codes, translate_streaming, rewrite_codes, alias_closure, alias_follow, alias_follow_default, alias_cycles, dangling_aliases, code_lookup, class_lookup, live,
+    translate_packs, translate_codes, translate_streaming, stream_deduplicated, stream_windows, rewrite_codes, alias_closure, alias_follow, alias_follow_default, alias_cycles, dangling_aliases, code_lookup, class_lookup, live,
     pack_checksums, certify_packs, token_counts, keywords_by_language, examples_by_language, definitions_by_language, ngram_embeddings, fallback_embeddings, observations_from_jsonl, stream_from_json, pack_round_trip, symbol_energy, capped_confidence,
     prototypes, class_quality, nearest_prototype, alphabet_figures, farthest_first, kmeans_labels, svd_residual, prototype_survival, alias_matching, event_transitions,
     tilted_transitions, observed_dynamics, learn_embeddings, learn_observations, learn_guards, learn_generations,
@@ -607,6 +623,9 @@ codes AS (SELECT pack_id, code FROM cb UNION SELECT pack_id, old_code FROM al UN
     "translate_streaming": f"""WITH RECURSIVE {_STREAM},
 {_STREAM_CODES}
 {_gloss_sql('codes', 't.stream_id, t.pos, t.code')}""",
+    "stream_deduplicated": "SELECT DISTINCT stream_id, pos FROM stream_codes",
+    "stream_windows": """WITH h AS (SELECT date_trunc('hour', arrived_at) AS begin, code FROM stream_codes), closed AS (SELECT max(date_trunc('millisecond', arrived_at)) - INTERVAL 1 DAY AS upto FROM stream_codes)
+SELECT begin, code, count(*) AS n FROM h, closed WHERE begin + INTERVAL 1 HOUR <= upto GROUP BY begin, code""",
     "rewrite_codes": """WITH a AS (SELECT old_code, arg_max(new_code, pos) AS new_code FROM stream_aliases GROUP BY old_code)
 SELECT stream_id, pos, coalesce(new_code, code) AS code, arrived_at FROM stream_codes LEFT JOIN a ON old_code = code""",
     "alias_closure": f"WITH RECURSIVE {_PACKS} SELECT * FROM clo",
