@@ -63,12 +63,12 @@ def _alias_paths(spark, sf_dir):
 
 def _equivalent(spark, sf_dir):
     """Runs of equal or equivalent codes, each under the root of its codes."""
-    paths = _alias_paths(spark, sf_dir)
+    known = _alias_paths(spark, sf_dir)
     tree = {}
-    for code, path in paths.items():
+    for code, path in known.items():
         tree.setdefault(path[0], []).append(code)
     found = runs.collapse(_stream_events(spark, sf_dir), {(a, b): 0.0 for own in tree.values() for a, b in itertools.combinations(own, 2)})
-    roots = [(code, path[0]) for code, path in paths.items()]
+    roots = [(code, path[0]) for code, path in known.items()]
     roots = spark.createDataFrame(roots, "code int, root int")
     return found.join(roots, "code", "left").withColumn("code", F.coalesce("root", "code"))
 

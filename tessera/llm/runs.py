@@ -207,6 +207,8 @@ def _segments(penalty: float, near: Near, raw: bool, last: bool):
                 continue
             held.append(batch)
             if len(held) > 1 and _same(held[0], 0, batch, batch.num_rows - 1):
+                if raw and len(held) > 4:  # one position may be delivered any number of times
+                    held = _last_deliveries(held)
                 continue  # all of one group so far
             rows = pa.Table.from_batches(held).combine_chunks()
             lo = rows.num_rows - batch.num_rows
@@ -222,6 +224,13 @@ def _segments(penalty: float, near: Near, raw: bool, last: bool):
     return run
 
 
+def _last_deliveries(held: list[pa.RecordBatch]) -> list[pa.RecordBatch]:
+    """Of rows of one group, the last of each position."""
+    rows = pa.Table.from_batches(held).combine_chunks()
+    pos = rows.column("first_pos").to_numpy()
+    return rows.take(pa.array(np.flatnonzero(np.r_[pos[1:] != pos[:-1], True]))).combine_chunks().to_batches()
+
+
 def _same(a: pa.RecordBatch, i: int, b: pa.RecordBatch, j: int) -> bool:
     return all(a.column(k)[i].as_py() == b.column(k)[j].as_py() for k in (1, 0))
 

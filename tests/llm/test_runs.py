@@ -111,3 +111,16 @@ def test_large_batches_are_cut_between_groups(spark):
     df = spark.range(60_000).selectExpr("'s' || (id % 2) as entity", "id div 2 as pos", "cast(id div 14 % 3 as int) as code", "cast(null as timestamp_ntz) as at", "timestamp_ntz'2022-01-01' as arrived")
     got = runs.collapse(df).groupBy("entity").agg({"n_events": "sum", "*": "count"}).collect()
     assert sorted(tuple(r) for r in got) == [("s0", 30_000, 4286), ("s1", 30_000, 4286)]
+
+
+def test_one_position_delivered_very_often(spark):
+    df = spark.range(120_000).selectExpr("'s' as entity", "case when id % 1000 = 0 then id div 1000 else 7 end as pos", "cast(id % 3 as int) as code", "cast(null as timestamp_ntz) as at", "timestamp_ntz'2022-01-01' + make_dt_interval(0, 0, 0, id) as arrived")
+    got = sorted((r["first_pos"], r["last_pos"], r["code"], r["n_events"]) for r in runs.collapse(df).collect())
+    want = [(p, p, 119_999 % 3 if p == 7 else p * 1000 % 3, 1) for p in range(120)]
+    merged = [want[0]]
+    for row in want[1:]:
+        if row[2] == merged[-1][2]:
+            merged[-1] = (merged[-1][0], row[1], row[2], merged[-1][3] + 1)
+        else:
+            merged.append(row)
+    assert got == merged
