@@ -1,7 +1,12 @@
+import glob
+import os
+import time
+
 import numpy as np
 import pytest
 
 from tessera.llm import clusters, knn, vectors
+from tessera.session import written
 
 SCHEMA = "kind int, id bigint, key string, v array<double>"
 
@@ -191,6 +196,50 @@ def test_few_links_are_lost_at_any_number_of_cells(k, fan):
     assert clusters.lost_links(cells, 0.85, reach=1, pairs=2000) == 0
 
 
+@pytest.mark.parametrize("reach", [clusters.REACH, 1])
+def test_clusters_in_waves(spark, reach, monkeypatch):
+    """What is shuffled at a time stays in proportion to the vectors, however many cells each of them visits."""
+    sent = []
+
+    def told(df, name="step", **how):
+        if name == "wave":
+            sent.append(name)
+        return written(df, name, **how)
+
+    monkeypatch.setattr(clusters, "written", told)
+    monkeypatch.setattr(clusters, "WAVE", 0.5)
+    monkeypatch.setattr(clusters, "WHOLE_ROWS", 30)
+    monkeypatch.setattr(clusters, "FINE_ROWS", 10)
+    x = sample(600, 8, seed=6)
+    got = {(r["id"], r["lead"]) for r in clusters.clusters(spark.createDataFrame(rows_of(x), SCHEMA), cell_rows=60, reach=reach).collect()}
+    assert got == brute_clusters(x) and len(sent) >= 3
+
+
+@pytest.mark.parametrize(("fine_rows", "reach"), [(10, 1), (10, clusters.FINE_REACH), (100, clusters.FINE_REACH)])
+def test_divided_comparison_finds_all_components(fine_rows, reach, monkeypatch):
+    monkeypatch.setattr(clusters, "FINE_ROWS", fine_rows)
+    monkeypatch.setattr(clusters, "FINE_HELD", 700)
+    rng = np.random.default_rng(8)
+    chain = np.zeros((40, 64))
+    chain[:, 0], chain[:, 1] = np.cos(0.15 * np.arange(40)), np.sin(0.15 * np.arange(40))
+    tight = rng.normal(size=64) + rng.normal(size=(900, 64)) * 0.1
+    x = unit(np.concatenate([sample(2000, 30, seed=9, noise=0.05), chain, tight]))[rng.permutation(2940)].astype(np.float32)
+    for core in (np.zeros(len(x), dtype=bool), x @ unit(tight.mean(axis=0)[None])[0] >= 0.97):
+        assert (clusters.divided(x, 0.85, core, reach) == clusters.components(x, 0.85, core)).all()
+
+
+def test_shuffle_files_go_with_a_tidy_write(spark):
+    manager = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    held = lambda: {f for d in manager.localDirsString() for f in glob.glob(os.path.join(d, "**", "shuffle_*.data"), recursive=True)}
+    before = held()
+    table = written(spark.range(5000).selectExpr("id % 100 as k").repartition(4, "k").groupBy("k").count(), tidy=True)
+    for _ in range(50):
+        if not held() - before:
+            break
+        time.sleep(0.1)
+    assert not held() - before and table.count() == 100
+
+
 def test_described_and_empty(spark):
     x = sample(200, 4, seed=3)
     df = spark.createDataFrame(rows_of(x), SCHEMA)
